@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +86,58 @@ def dropped(spark: SparkSession, where: str) -> None:
     """Removes a folder that stored() or an archive writer has made."""
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+# Word hashes -------------------------------------------------------------------------------------------------
+#: A word's hash is the polynomial of its bytes at _P modulo 2**64, mixed; as _P is odd, prefix sums give every word's at once.
+_P = 0x9E3779B97F4A7C15
+_CHUNK = 1 << 18
+_MASK = np.frombuffer(_WORD_TABLE, dtype=np.uint8)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of uint64 that spreads every bit over all of them (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    def run(base: int) -> np.ndarray:
+        p = np.full(n, base, dtype=np.uint64)
+        p[0] = 1
+        return np.multiply.accumulate(p)
+
+    return run(_P), run(pow(_P, -1, 1 << 64))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word of words(text), the same in every process; in pieces of some 256 KB."""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_WORD_TABLE)
+    out, at = [], 0
+    while at < len(data):
+        end = len(data) if len(data) - at <= _CHUNK else data.find(b" ", at + _CHUNK)
+        end = len(data) if end < 0 else end
+        b = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
+        inside = np.zeros(len(b) + 2, dtype=np.int8)
+        inside[1:-1] = b != 32
+        edge = np.diff(inside)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        up, down = _powers(1 << max(19, len(b).bit_length()))
+        total = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum(b * up[: len(b)], out=total[1:])
+        out.append(mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    s = np.zeros(n, dtype=np.uint64)
+    for i in range(k):
+        s = s * np.uint64(0xD6E8FEB86659FD93) + hashes[i : i + n]
+    return mix(s)
