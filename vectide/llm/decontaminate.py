@@ -156,8 +156,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, *, doc_id: str =
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.05, **options) -> DataFrame:
-    """The documents of which less than ``share`` of the words lies in benchmark windows, with their own columns."""
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, one_in: int = 20, **options) -> DataFrame:
+    """The documents of which less than one word in ``one_in`` lies in benchmark windows, with their own columns."""
     got = find_contamination(docs, benchmark, **options)
     hit = F.aggregate("res.spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return got.where((hit == 0) | (hit < share * F.col("res.n_words"))).select("row.*")
+    return got.where((hit == 0) | (one_in * hit < F.col("res.n_words"))).select("row.*")
