@@ -282,7 +282,8 @@ def _probes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     info = shards.shard_info(sharded(rows_of(spark, sf_dir)))
     address = F.when(F.col("shard") == 0, "http://a").otherwise("http://b")
     probes = info.where("shard < 2").select(address.alias("address"), "len", "dim", F.lit(None).cast("string").alias("error"))
-    return table_, probes.union(spark.createDataFrame([("http://c", None, None, "node_unreachable")], probes.schema))
+    lost = spark.createDataFrame([("http://c", None, None, "node_unreachable")], "address string, len long, dim int, error string")
+    return table_, probes.union(lost)
 
 
 @register("""SELECT pos, address, servable, CASE pos WHEN 0 THEN a WHEN 1 THEN b ELSE 0 END AS rows FROM
@@ -380,7 +381,7 @@ def scalar_search_topk(spark, sf_dir):
     FROM embeddings q, embeddings e WHERE q.vec_id < 8),
     T AS (SELECT query_id, vec_id FROM X QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10),
     G AS (SELECT query_id, vec_id FROM S QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10)
-    SELECT avg(share) AS recall FROM (SELECT T.query_id, count(G.vec_id) / 10.0::DOUBLE AS share FROM T LEFT JOIN G USING (query_id, vec_id) GROUP BY 1)""")
+    SELECT count(G.vec_id) / (10.0::DOUBLE * count(DISTINCT T.query_id)) AS recall FROM T LEFT JOIN G USING (query_id, vec_id)""")
 def recall_at_k(spark, sf_dir):
     truth = search.search(rows_of(spark, sf_dir), queries_of(spark, sf_dir), 10)
     return measures.recall(_scalar_topk(spark, sf_dir), truth.select("query_id", "slot"), 10)
@@ -419,10 +420,10 @@ def latency_percentiles(spark, sf_dir):
     return measures.nearest_rank(table(spark, sf_dir, "events"), "value")
 
 
-@register("SELECT avg(CAST(value AS DECIMAL(18, 4)))::DECIMAL(18, 4) IS NOT NULL AS has_mean, count(*) / 2.5::DOUBLE AS qps FROM events")
+@register("SELECT CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS DOUBLE) / count(value) AS mean, count(*) / 2.5::DOUBLE AS qps FROM events")
 def latency_mean_qps(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.agg(F.avg("value").isNotNull().alias("has_mean"), (F.count("*") / F.lit(2.5)).alias("qps"))
+    return e.agg((F.sum(F.round(F.col("value") * 1000).cast("long")) / F.count("value")).alias("mean"), (F.count("*") / F.lit(2.5)).alias("qps"))
 
 
 @register("SELECT * FROM (VALUES ('http://s2'), ('http://s3')) t(address)")
@@ -456,11 +457,11 @@ def sole_index(spark, sf_dir):
 
 
 @register("""SELECT * FROM (VALUES (0, 'http://a:1', '', '', NULL), (1, 'http://b:1', 'https://c:2|http://d:3', 'main', 7), (2, 'http://e', '', 'x', NULL))
-    t(at, address, replicas, index_id, generation)""")
+    t(pos, address, replicas, index_id, generation)""")
 def node_table_parse(spark, sf_dir):
     text = "a:1 # first, with a comma\nb:1|https://c:2|d:3  main 7, e x\n# nothing\n"
     got = topology.parse_tables(spark.createDataFrame([(text,)], "text string"))
-    return got.withColumn("at", F.row_number().over(Window.orderBy("at")) - 1)
+    return got.withColumn("pos", F.row_number().over(Window.orderBy("pos")) - 1)
 
 
 @register("SELECT n, 'gen-' || lpad(CAST(n AS VARCHAR), 20, '0') AS name FROM (SELECT unnest([0, 7, 1234567890123]) AS n)")

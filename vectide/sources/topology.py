@@ -55,11 +55,11 @@ def parse_table(text: str) -> Topology:
 def parse_tables(texts: DataFrame, column: str = "text") -> DataFrame:
     """pos, address, replicas, index_id, generation of every entry of a column of tables, in the plan."""
     clean = F.regexp_replace(F.col(column), r"#[^\n]*", "")
-    entries = texts.select(F.posexplode(F.split(clean, r"[,\n]")).alias("at", "entry")).select("at", F.trim(F.regexp_replace("entry", r"\s+", " ")).alias("entry"))
+    entries = texts.select(F.posexplode(F.split(clean, r"[,\n]")).alias("pos", "entry")).select("pos", F.trim(F.regexp_replace("entry", r"\s+", " ")).alias("entry"))
     w = F.split(F.col("entry"), " ")
     a = F.transform(F.split(F.get(w, 0), r"\|"), with_scheme)
     return entries.where("entry <> ''").select(
-        "at",
+        "pos",
         F.get(a, 0).alias("address"),
         F.concat_ws("|", F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))).alias("replicas"),
         F.coalesce(F.get(w, 1), F.lit("")).alias("index_id"),
