@@ -218,7 +218,7 @@ def test_quality_verdicts(spark):
     want = brute_scores(docs, fit, 1 << 10)
     assert all(abs(got[i].score - s) < 1e-9 for (i, _), s in zip(docs, want, strict=True))
     assert {i for i, r in got.items() if r.kept} == {i for i, t in clean if not brute_base(t)[-1]}
-    nothing = quality.judge_quality(d, lab.where("false"), buckets=1 << 10).where("kept <> not base.base_failed")
+    nothing = quality.judge_quality(d, lab.where("false"), buckets=1 << 10).where("kept = base.base_failed")
     assert nothing.count() == 0
     assert quality.judge_quality(d.where("false"), lab).count() == 0
 
@@ -254,7 +254,7 @@ def brute_lines(corpus, window=2, spread=4):
 def test_line_dedup(documents, corpus):
     got = line_dedup.dedupe_lines(documents, keep=["doc_id"]).collect()
     want = brute_lines(corpus)
-    assert sum(x[2] > 0 for x in want) > 10
+    assert sum(x[2] > 0 for x in want) > 5
     assert Counter((r.row.doc_id, r.text, r.n_removed) for r in got) == Counter(want)
     assert line_dedup.dedupe_lines(documents.where("false")).count() == 0
 

@@ -86,8 +86,8 @@ def test_warc_damage_is_noticed(spark, tmp_path):
     at = f"file://{tmp_path}/warc"
     df = spark.createDataFrame([(1, "http://a/", "payload of the page")], PAGES)
     warc.write_archives(warc.resolve_revisits(df), at, compression="none")
-    f = next((tmp_path / "warc").glob("part-*"))
-    f.write_bytes(f.read_bytes().replace(b"of the page", b"of the cage"))
+    for f in (tmp_path / "warc").glob("part-*"):
+        f.write_bytes(f.read_bytes().replace(b"of the page", b"of the cage"))
     for crc in (tmp_path / "warc").glob(".*.crc"):
         crc.unlink()
     with pytest.raises(Exception, match="isn't that of its digest"):
