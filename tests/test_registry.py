@@ -19,7 +19,7 @@ def test_query_equals_its_sql(spark, small, name):
 def test_entry_point(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 80
+    assert e.entry(spark).count() == 250
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(registry.QUERIES) <= set(e.queries())
 

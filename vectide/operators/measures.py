@@ -41,11 +41,11 @@ def nearest_rank(values: DataFrame, column: str, percents: tuple[int, ...] = (50
     return placed.agg(*[F.min(F.when(F.col("upto") > rank(p), F.col("v"))).alias(f"p{p}") for p in percents])
 
 
-def running_floor(updates: DataFrame, seq: str, floor: str) -> DataFrame:
-    """seq, floor, current, raised: the newest floor never falls, and only a strict rise counts (E3, E4, I2). One query's updates."""
-    w = Window.orderBy(seq)
+def running_floor(updates: DataFrame, query: str, seq: str, floor: str) -> DataFrame:
+    """query, seq, floor, current, raised: a query's newest floor never falls, and only a strict rise counts."""
+    w = Window.partitionBy(query).orderBy(seq)
     current = F.max(floor).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = updates.select(seq, floor, current.alias("current"))
+    out = updates.select(query, seq, floor, current.alias("current"))
     before = F.lag("current").over(w)
     return out.withColumn("raised", F.coalesce(F.col("current") > before, F.lit(True)))
 

@@ -162,6 +162,48 @@ def search(
     return got.select("query_id", "rank", "score", "label", "shard", "slot")
 
 
+def query_blocks(queries: DataFrame | Sequence, size: int = 4096) -> Iterator[list[Query]]:
+    """A query set of any size in blocks that a task can hold; the driver holds one block, and one partition of queries, at a time."""
+    if not isinstance(queries, DataFrame):
+        queries = collect_queries(queries, Limits(max_queries=len(queries) or 1))
+        yield from (queries[i : i + size] for i in range(0, len(queries), size))
+        return
+    block: list[Query] = []
+    for r in queries.toLocalIterator():
+        block.append((r[0], list(r[1]) if r[1] is not None else []))
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def scan_many(rows: DataFrame, queries: DataFrame | Sequence, k: int | None, **how) -> DataFrame:
+    """scan() for a query set of any size, block by block."""
+    out = None
+    for block in query_blocks(queries):
+        check_queries(block, len(block[0][1]))
+        got = scan(rows, block, k, **how)
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        raise InvalidArgument("a request needs a query")
+    return out
+
+
+def search_many(rows: DataFrame, queries: DataFrame | Sequence, k: int, *, floor: float | None = None, ties: bool = False, by_label: bool = False) -> DataFrame:
+    """search() for a query set of any size."""
+    check_k(k)
+    check_floor(floor)
+    got = ranked(scan_many(rows, queries, k, floor=floor, ties=ties, by_label=by_label), k, ties=ties, by_label=by_label)
+    return got.select("query_id", "rank", "score", "label", "shard", "slot")
+
+
+def candidates_many(rows: DataFrame, queries: DataFrame | Sequence, *, floor: float | None = None) -> DataFrame:
+    """candidates() for a query set of any size."""
+    check_floor(floor)
+    return scan_many(rows, queries, None, floor=floor)
+
+
 def search_in_order(result: DataFrame) -> Iterator:
     """The results one query after the other, best first (A2, F7); the driver holds one partition at a time."""
     return result.orderBy("query_id", "rank").toLocalIterator()

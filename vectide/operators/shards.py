@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import CollectionError, InvalidArgument
 from ..functions.vectors import even_counts, rows_per_frame
-from .search import ranked, scan
+from .search import ranked, scan_many
 
 
 def split_plan(total: int, targets: int, counts: Sequence[int] | None = None) -> list[tuple[int, int, int]]:
@@ -106,7 +106,7 @@ def merge_shards(shards: Sequence[DataFrame], queries, k: int, **how) -> DataFra
     """Global top-k over shards scanned apart (F1, G1): each gives its own best k, the union's best k are the answer."""
     if not shards:
         raise CollectionError("empty_collection", "there is no shard to search")
-    own = [scan(s, queries, k, **how) for s in shards]
+    own = [scan_many(s, queries, k, **how) for s in shards]
     union = own[0]
     for s in own[1:]:
         union = union.unionByName(s)
