@@ -6,17 +6,11 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parents[1]))
+sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-def prose(rng: random.Random, n: int) -> list[str]:
-    return ["".join(rng.choice(("an", "er", "on", "the", "re", "ti", "ou", "é", "st", "ha")) for _ in range(rng.randint(1, 5))) for _ in range(n)]
+from llm_texts import lined, prose  # noqa: E402
 
-
-def lined(words: list[str], per: int = 9) -> str:
-    return "\n".join(" ".join(words[i : i + per]) for i in range(0, len(words), per))
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 @pytest.fixture(scope="session")

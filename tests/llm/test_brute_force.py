@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_texts import lined, prose
 from pyspark.sql import functions as F
 
 from vectide.llm import decontaminate, licenses, line_dedup, near_dedup, packing, quality, token_counts
@@ -203,8 +204,6 @@ def brute_scores(docs, good, buckets):
 def test_quality_verdicts(spark):
     import random
 
-    from conftest import lined, prose
-
     rng = random.Random(5)
     clean = [(i, lined(prose(rng, 80))) for i in range(60)]
     shout = [(i, " ".join(x.upper() + "!!" for x in prose(rng, 80))) for i in range(60, 90)]
