@@ -81,7 +81,8 @@ def entries_of(pages: DataFrame) -> DataFrame:
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.evaluate_captures(captures_of(pages), entries_of(pages))
+    got = url_filter.evaluate_captures(captures_of(pages), entries_of(pages))
+    return got.withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +130,7 @@ WITH p AS (SELECT page_id, url, rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-
     a AS (SELECT k.*, list, row_number() OVER (PARTITION BY page_id, url ORDER BY CASE k.kind WHEN 'url' THEN 0 WHEN 'host' THEN 1 ELSE 2 END,
             length(k.pattern) DESC, list, k.pattern) AS r, count(*) OVER (PARTITION BY page_id, url) AS n
         FROM k JOIN span USING (kind, pattern) WHERE CAST(fetched_at AS DATE) >= since AND (until IS NULL OR CAST(fetched_at AS DATE) < until))
-SELECT c.page_id, c.url, c.fetched_at, CAST(coalesce(n, 0) AS BIGINT) AS n_active,
+SELECT c.page_id, c.url, strftime(c.fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at, CAST(coalesce(n, 0) AS BIGINT) AS n_active,
     CASE WHEN n IS NULL THEN '' ELSE list || ':' || kind || ':' || pattern END AS rule, coalesce(list = 'block', false) AS blocked
 FROM c LEFT JOIN (SELECT * FROM a WHERE r = 1) a ON a.page_id = c.page_id AND a.url = c.url
 """,
