@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, licenses, line_dedup, near_dedup, packing, quality, token_counts, url_filter, warc
+from .common import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.suffix_sums(token_counts.length_histogram(_table(spark, sf_dir, "documents")))
+    return token_counts.suffix_sums(stored(token_counts.length_histogram(_table(spark, sf_dir, "documents"))))
 
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
