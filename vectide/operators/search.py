@@ -62,7 +62,7 @@ def left_sums(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 def scan(rows: DataFrame, queries: Sequence[Query], k: int | None, *, floor: float | None = None, ties: bool = False, by_label: bool = False) -> DataFrame:
     """query_id, score, shard, slot, label: each task's best k rows per query (all at or above the floor if k is None).
 
-    rows: shard, slot, label, embedding. ties keeps every row that equals the task's k-th score.
+    rows: shard, slot, label, embedding (floats, or doubles as decoded codes are). ties keeps every row that equals the task's k-th score.
     """
     ids = np.array([q for q, _ in queries], dtype=np.int64)
     matrix = np.array([v for _, v in queries], dtype=np.float64).reshape(len(ids), -1)
@@ -119,7 +119,14 @@ def scan(rows: DataFrame, queries: Sequence[Query], k: int | None, *, floor: flo
                 if len(p[0]):
                     yield batch_of(j, p)
 
-    return rows.select(F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, schema)
+    kind = rows.schema["embedding"].dataType.simpleString()
+    src = rows.select(
+        F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"),
+        F.col("label").cast("long").alias("label"),
+        F.col("embedding").cast(kind if kind == "array<double>" else "array<float>").alias("embedding"),
+    )
+    return src.mapInArrow(run, schema)
 
 
 def order_of(by_label: bool) -> list:

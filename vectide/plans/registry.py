@@ -166,9 +166,8 @@ def search_shard_slot_order(spark, sf_dir):
 )
 def cosine_topk(spark, sf_dir):
     rows, qs = rows_of(spark, sf_dir), queries_of(spark, sf_dir)
-    pairs = rows.withColumn("e", V.unit(F.col("embedding"))).crossJoin(F.broadcast(qs.select("query_id", V.unit(F.col("q")).alias("q"))))
-    pairs = pairs.select("query_id", "shard", "slot", "label", V.dot(F.col("q"), F.col("e")).alias("score"))
-    return short(search.ranked(pairs, 10))
+    rows, qs = rows.withColumn("embedding", V.unit(F.col("embedding"))), qs.withColumn("q", V.unit(F.col("q")))
+    return short(search.search_many(rows, qs, 10))
 
 
 # Candidates --------------------------------------------------------------------------------------------------
@@ -369,8 +368,8 @@ _SCALAR = f"""{_CODES}, D AS (SELECT vec_id, [z[1] / z[2] + z[3] for z in list_z
 
 def _scalar_topk(spark, sf_dir) -> DataFrame:
     rows, pair = _encoded(spark, sf_dir)
-    rows = codes.scalar_decode(rows, pair).crossJoin(F.broadcast(queries_of(spark, sf_dir)))
-    return search.ranked(rows.select("query_id", "shard", "slot", "label", V.dot(F.col("q"), F.col("decoded")).alias("score")), 10)
+    rows = codes.scalar_decode(rows, pair).withColumn("embedding", F.col("decoded"))
+    return search.search_many(rows, queries_of(spark, sf_dir), 10)
 
 
 @register(f"WITH {_SCALAR} {_TOP} QUALIFY rank <= 10")
