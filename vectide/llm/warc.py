@@ -4,7 +4,7 @@ Headers (page id, payload length and SHA-1) are shuffled by digest, with a parti
 captures with one payload of at least ``least`` bytes, that with the largest id stays a response. Each capture is then
 joined to its original. Archives are written by Spark's own text writer, whose line separator is the end of a WARC
 record, so they go to any store that Spark reaches, a lost task leaves nothing behind, and every header is made anew. A
-file holds at most ``file_records`` records.
+file's records are limited so that a task can read it whole.
 """
 
 from __future__ import annotations
@@ -145,8 +145,16 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = False)
     return files.mapInArrow(run, schema)
 
 
+def records_per_file(resolved: DataFrame, *, usual_bytes: int = 64 << 20, most_bytes: int = 1 << 30) -> int:
+    """Records that make a file of about usual_bytes, and of at most most_bytes even if each were the largest."""
+    n = F.col("payload_bytes") + 1000
+    got = resolved.agg(F.avg(n).alias("mean"), F.max(n).alias("largest")).first()
+    return max(1, int(min(usual_bytes / got.mean, most_bytes / got.largest))) if got.largest else 1
+
+
 def archive_pages(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
     """Writes the pages' archives into path (a new shared folder by default) and reads them back."""
     path = path or f"{shared_dir(pages.sparkSession)}/warc"
-    write_archives(resolve_revisits(pages, **columns), path)
+    resolved = resolve_revisits(pages, **columns)
+    write_archives(resolved, path, file_records=records_per_file(resolved))
     return read_archives(pages.sparkSession, path)
