@@ -30,6 +30,8 @@ PAGES = "page_id long, url string, html string"
         ("<ARTICLE CLASS=post><P>Up</P></ARTICLE>", "Up"),
         ("<article><p>a < b and c</p></article>", "a < b and c"),
         ("<article><p>x</p><style>p{}", "x"),
+        ("<div class='page has-sidebar' style='overflow:hidden' data-id='ad'><article><p>a</p><img alt='x>y' width=5>b</article></div>", "a\n\nb"),
+        ("<article><div class=related-posts><p>r</div><section id='reader_comments'>c</section><p aria-hidden='true'>k<p>z</article>", "z"),
     ],
 )
 def test_page_blocks(page, text):
