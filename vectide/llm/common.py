@@ -88,6 +88,23 @@ def dropped(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables in one shared folder that goes when the result no longer needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self._n = spark, shared_dir(spark), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self._n += 1
+        return stored(df, f"{self.root}/{self._n}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        dropped(self.spark, self.root)
+
+
 # Word hashes -------------------------------------------------------------------------------------------------
 #: A word's hash is the polynomial of its bytes at _P modulo 2**64, mixed; as _P is odd, prefix sums give every word's at once.
 _P = 0x9E3779B97F4A7C15
