@@ -44,6 +44,18 @@ def flat(df: DataFrame, result: str = "res", row: str = "row") -> DataFrame:
     return df.select(*[col(row).getField(c).alias(c) for c in kept], f"{result}.*")
 
 
+#: Bytes of an Arrow batch, so that long texts make batches of fewer rows and not larger ones.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow() in batches of bounded size; a bound that the session has set stays."""
+    spark = df.sparkSession
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH):
+        spark.conf.set(_BATCH, _BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(
     df: DataFrame,
     inputs: dict[str, Column],
@@ -63,7 +75,7 @@ def map_texts(
             got = f({k: b.column(k).to_pylist() for k in names})
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(got, type=arrow)], names=["row", "res"])
 
-    return src.mapInArrow(run, out)
+    return map_arrow(src, run, out)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, map_texts, packed, stored, words
+from .common import col, map_arrow, map_texts, packed, stored, words
 
 _RESULT = "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
 
@@ -41,7 +41,7 @@ def _counts(docs: DataFrame, text: str, vocabulary: frozenset[bytes]) -> dict[by
             {"w": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())}
         )
 
-    rows = docs.select(col(text)).mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(docs.select(col(text)), run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()
     return {bytes(r.w): r.n for r in rows}
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, packed, stored
+from .common import col, map_arrow, packed, stored
 
 _M = (1 << 64) - 1
 
@@ -62,7 +62,7 @@ def _chunks(docs: DataFrame, window: int, spread: int, with_text: bool) -> DataF
             arrays = [pa.array(v, t) for v, t in zip(values, types, strict=False)]
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rows, pa.int64())), *arrays], names=["key", *names])
 
-    return docs.select("key", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("key", "text"), run, schema)
 
 
 def _key(doc_id: Column, text: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import col
+from .common import col, map_arrow
 from .tokens import encoder
 
 END = 1
@@ -191,7 +191,7 @@ def pack_documents(
                     windows, held = [], 0
         yield from block(windows, True)
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def unpacked(pieces: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, map_arrow
 from .tokens import encoder
 
 #: Lengths that share a range are summed together; a range's own sums are then carried over the ranges.
@@ -29,7 +29,7 @@ def length_histogram(docs: DataFrame, *, text: str = "text", vocab: str | None =
             {"length": pa.array(list(seen), pa.int64()), "n_docs": pa.array(list(seen.values()), pa.int64())}
         )
 
-    counted = docs.select(col(text).cast("string")).mapInArrow(run, "length bigint, n_docs bigint")
+    counted = map_arrow(docs.select(col(text).cast("string")), run, "length bigint, n_docs bigint")
     return counted.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 

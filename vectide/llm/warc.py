@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, shared_dir, stored
+from .common import col, map_arrow, shared_dir, stored
 
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -142,7 +142,7 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = False)
                 yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=False)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, schema)
+    return map_arrow(files, run, schema)
 
 
 def records_per_file(resolved: DataFrame, *, usual_bytes: int = 64 << 20, most_bytes: int = 1 << 30) -> int:
