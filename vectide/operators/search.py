@@ -22,6 +22,10 @@ from ..functions.vectors import dot
 
 Query = tuple[int, list[float]]
 
+_NO_LABEL = np.iinfo(np.int64).min
+#: Numbers that a task holds at once in a matrix of scores or of products.
+_CELLS = 1 << 22
+
 
 def collect_queries(queries: DataFrame | Sequence, limits: Limits = Limits()) -> list[Query]:
     """(query_id, coordinates) of a DataFrame (query_id, q), a list of vectors, or a flat vector; refused above the limit."""
@@ -70,16 +74,32 @@ def scan(rows: DataFrame, queries: Sequence[Query], k: int | None, *, floor: flo
     schema = "query_id long, score double, shard int, slot long, label long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = np.sqrt((matrix**2).sum(axis=1))
-        pools: list[list[np.ndarray]] = [[np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)] for _ in ids]
-        cuts = np.full(len(ids), -np.inf if floor is None else floor)
-
-        def batch_of(j: int, p: list[np.ndarray]) -> pa.RecordBatch:
-            label = pa.array(p[3], pa.int64(), mask=p[3] == np.iinfo(np.int64).min)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(p[0]), ids[j])), pa.array(p[0]), pa.array(p[1].astype(np.int32)), pa.array(p[2]), label],
-                names=["query_id", "score", "shard", "slot", "label"],
-            )
+        n_queries, lengths = len(ids), np.sqrt((matrix**2).sum(axis=1))
+        cuts = np.full(n_queries, -np.inf if floor is None else floor)
+        pool: list[np.ndarray] = [np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64, np.int64)]
+        waiting: list[list[np.ndarray]] = []
+
+        def batch_of(p: list[np.ndarray]) -> pa.RecordBatch:
+            label = pa.array(p[4], pa.int64(), mask=p[4] == _NO_LABEL)
+            columns = [pa.array(ids[p[0]]), pa.array(p[1]), pa.array(p[2].astype(np.int32)), pa.array(p[3]), label]
+            return pa.RecordBatch.from_arrays(columns, names=["query_id", "score", "shard", "slot", "label"])
+
+        def merge() -> None:
+            """The best k of the pool and what waits, per query; the k-th score becomes the query's cut."""
+            nonlocal pool
+            q, score, shard, slot, label = (np.concatenate(c) for c in zip(pool, *waiting, strict=True))
+            waiting.clear()
+            order = np.lexsort((slot, shard, *([label] if by_label else []), -score, q))
+            q, score, shard, slot, label = (c[order] for c in (q, score, shard, slot, label))
+            first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+            size = np.diff(np.r_[first, len(q)])
+            full = size >= k
+            last = first[full] + k - 1
+            cuts[q[last]] = np.maximum(cuts[q[last]], score[last])
+            keep = np.arange(len(q)) - np.repeat(first, size) < k
+            if ties:
+                keep |= score >= cuts[q]
+            pool = [c[keep] for c in (q, score, shard, slot, label)]
 
         for b in batches:
             if not b.num_rows:
@@ -87,37 +107,36 @@ def scan(rows: DataFrame, queries: Sequence[Query], k: int | None, *, floor: flo
             e = b.column("embedding")
             if e.null_count or e.values.null_count or len(e.flatten()) != b.num_rows * dim:
                 raise ValueError(f"a row doesn't have {dim} coordinates")
-            x = e.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim)
-            shard, slot = b.column("shard").to_numpy(zero_copy_only=False), b.column("slot").to_numpy(zero_copy_only=False)
-            label = b.column("label").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            rough = x @ matrix.T
-            slack = 4 * (dim + 2) * np.finfo(np.float64).eps * lengths * math.sqrt((x**2).sum(axis=1).max())
-            for j in range(len(ids)):
-                s = rough[:, j]
-                low = cuts[j] - slack[j]
-                if k is not None and len(s) > k:
-                    low = max(low, np.partition(s, len(s) - k)[len(s) - k] - 2 * slack[j])
-                at = np.flatnonzero(s >= low)
-                if not len(at):
-                    continue
-                exact = left_sums(x[at], matrix[j])
-                at, exact = at[exact >= cuts[j]], exact[exact >= cuts[j]]
-                new = [exact, shard[at].astype(np.int64), slot[at], label[at]]
-                if k is None:
-                    yield batch_of(j, new)
-                    continue
-                p = [np.concatenate(c) for c in zip(pools[j], new, strict=True)]
-                if len(p[0]) > k:
-                    order = np.lexsort((p[2], p[1], p[3], -p[0]) if by_label else (p[2], p[1], -p[0]))
-                    kth = p[0][order[k - 1]]
-                    order = order[p[0][order] >= kth] if ties else order[:k]
-                    p = [c[order] for c in p]
-                    cuts[j] = max(cuts[j], kth)
-                pools[j] = p
+            all_x = e.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
+            own = [b.column("shard").to_numpy(zero_copy_only=False).astype(np.int64), b.column("slot").to_numpy(zero_copy_only=False)]
+            own.append(b.column("label").fill_null(_NO_LABEL).to_numpy(zero_copy_only=False))
+            step = max(1, _CELLS // n_queries)
+            for start in range(0, b.num_rows, step):
+                x = all_x[start : start + step].astype(np.float64)
+                rough = x @ matrix.T
+                slack = 4 * (dim + 2) * np.finfo(np.float64).eps * lengths * math.sqrt((x**2).sum(axis=1).max())
+                low = cuts - slack
+                if k is not None and len(x) > k:
+                    low = np.maximum(low, np.partition(rough, len(x) - k, axis=0)[len(x) - k] - 2 * slack)
+                at, j = np.nonzero(rough >= low)
+                part = max(1, _CELLS // dim)
+                for a in range(0, len(at), part):
+                    r, q = at[a : a + part], j[a : a + part]
+                    exact = left_sums(x[r], matrix[q])
+                    good = exact >= cuts[q]
+                    r, q, exact = r[good], q[good], exact[good]
+                    new = [q, exact, *(c[start + r] for c in own)]
+                    if k is None:
+                        yield batch_of(new)
+                    else:
+                        waiting.append(new)
+                if sum(len(w[0]) for w in waiting) > max(len(pool[0]), 1 << 16):
+                    merge()
         if k is not None:
-            for j, p in enumerate(pools):
-                if len(p[0]):
-                    yield batch_of(j, p)
+            if waiting:
+                merge()
+            if len(pool[0]):
+                yield batch_of(pool)
 
     kind = rows.schema["embedding"].dataType.simpleString()
     src = rows.select(
