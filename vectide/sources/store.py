@@ -64,10 +64,9 @@ class Manifest:
 
 
 def _digest(rows: DataFrame) -> str:
-    """Count and sum of checksums over all rows, whatever their order."""
-    parts = F.concat_ws("|", "slot", "label", F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string"))))
-    got = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.crc32(parts.cast("binary")).cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-    return f"{got.n}:{int(got.s):x}"
+    """Count and joined hash of all rows, whatever their order."""
+    got = rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("slot", "label", "embedding")).alias("h")).first()
+    return f"{got.n}:{(got.h or 0) & (1 << 64) - 1:016x}"
 
 
 class Store:
@@ -78,7 +77,7 @@ class Store:
         self.files.make()
         self.indexes: dict[str, Index] = {}
         for name in self.files.names():
-            if name.startswith(".tombstone-"):
+            if name.startswith(".tombstone-") or name == ".staged":
                 self.files.delete(name)
             elif _NAME.fullmatch(name) and self.files.exists(f"{name}/CURRENT"):
                 self.indexes[name] = self._restored(name)
@@ -147,6 +146,7 @@ class Index:
 
     def __init__(self, store: Store, manifest: Manifest, rows: DataFrame):
         self.store, self.manifest, self.rows = store, manifest, rows
+        self._staged: list[str] = []
 
     def info(self) -> dict:
         m = self.manifest
@@ -174,33 +174,44 @@ class Index:
             vectors = spark.createDataFrame(data, "position long, embedding array<float>, id long")
         elif "id" not in vectors.columns:
             vectors = vectors.withColumn("id", F.lit(None).cast("long"))
-        bad = ~F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-        got = vectors.agg(
-            F.count("*").alias("n"),
-            F.min(F.size("embedding")).alias("low"),
-            F.max(F.size("embedding")).alias("high"),
-            F.count_if(F.col("embedding").isNull() | F.coalesce(bad, F.lit(True))).alias("bad"),
-            F.count_if(F.col("id").isNull()).alias("no_id"),
-        ).first()
-        if got.n and (got.bad or got.low != got.high):
-            raise InvalidArgument("vectors of one append have one dimension and finite coordinates")
-        if self.manifest.kind == "id_map" and got.no_id:
-            raise InvalidArgument("an id-mapped index needs an id for each vector")
         sorted_ = vectors.repartitionByRange("position").sortWithinPartitions("position")
         part = F.shiftright(F.monotonically_increasing_id(), 33)
         within = F.monotonically_increasing_id() - F.shiftleft(part, 33)
         kept = self._kept(sorted_.select(part.alias("part"), within.alias("within"), F.col("id").alias("label"), F.col("embedding").cast("array<float>").alias("embedding")))
-        sizes, base, start = kept.groupBy("part").count().orderBy("part").collect(), [], self.manifest.len
+        finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+        sizes = (
+            kept.groupBy("part")
+            .agg(
+                F.count("*").alias("n"),
+                F.min(F.size("embedding")).alias("low"),
+                F.max(F.size("embedding")).alias("high"),
+                F.count_if(F.col("embedding").isNull() | ~F.coalesce(finite, F.lit(False))).alias("bad"),
+                F.count_if(F.col("label").isNull()).alias("no_id"),
+            )
+            .orderBy("part")
+            .collect()
+        )
+        n, dims = sum(r.n for r in sizes), {x for r in sizes for x in (r.low, r.high)}
+        refused = None
+        if any(r.bad for r in sizes) or len(dims) > 1:
+            refused = "vectors of one append have one dimension and finite coordinates"
+        elif self.manifest.kind == "id_map" and any(r.no_id for r in sizes):
+            refused = "an id-mapped index needs an id for each vector"
+        if refused:
+            self.store.files.delete(self._staged.pop())
+            raise InvalidArgument(refused)
+        base, start = [], self.manifest.len
         for r in sizes:
             base.append((r.part, start))
-            start += r["count"]
+            start += r.n
         offsets = spark.createDataFrame(base, "part long, base long")
         rows = kept.join(F.broadcast(offsets), "part").select((F.col("base") + F.col("within")).alias("slot"), "label", "embedding")
-        return rows, got.n, got.high or 0
+        return rows, n, max(dims, default=0)
 
     def _kept(self, df: DataFrame) -> DataFrame:
         """df as a table under the store, so numbers given out once stay the same when a task runs again."""
-        at = self.store.files.path(f".staged/{uuid.uuid4().hex}")
+        self._staged.append(f".staged/{uuid.uuid4().hex}")
+        at = self.store.files.path(self._staged[-1])
         df.write.parquet(at)
         return df.sparkSession.read.schema(df.schema).parquet(at)
 
@@ -295,6 +306,8 @@ class Index:
         Files(self.store.spark, files.path(m.index_id)).replace("CURRENT", name)
         self.manifest = m
         self.rows = self.store.spark.read.schema(ROWS).parquet(files.path(f"{m.index_id}/{name}/rows"))
+        while self._staged:
+            files.delete(self._staged.pop())
         for old in files.names(m.index_id):
             if old.startswith(".new-") or old.startswith("gen-") and old < f"gen-{n - 1:020d}":
                 files.delete(f"{m.index_id}/{old}")
