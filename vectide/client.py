@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,8 +182,6 @@ class Collection:
         return self._published([(rows, 0, at)], own[0])[0]
 
     def _published(self, parts: list[tuple[DataFrame, int, int]], like: StoredIndex) -> list[str]:
-        from dataclasses import replace
-
         made = []
         for rows, start, n in parts:
             x = self.store.create(like.manifest.dim, like.manifest.bit_width)

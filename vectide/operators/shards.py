@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CollectionError, InvalidArgument
@@ -176,7 +176,7 @@ def carry_replicas(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(old.select("address", "replicas"), "address", "left")
 
 
-def sole_index(catalog: DataFrame) -> Column | str:
+def sole_index(catalog: DataFrame) -> str:
     """The only index's id, or ambiguous_index."""
     rows = catalog.select("index_id").limit(2).collect()
     if len(rows) != 1:

@@ -161,9 +161,12 @@ def search_shard_slot_order(spark, sf_dir):
     return got.select((F.col("rank") - 1).cast("long").alias("rank0"), F.col("label").alias("vec_id"))
 
 
-@register(
-    f"""WITH {_S.replace("q.embedding::DOUBLE[], e.embedding::DOUBLE[]", "q.u, e.u").replace("embeddings q, embeddings e", "N q, N e").replace("S AS", "N AS (SELECT vec_id, [x / n for x in v] AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum([x * x for x in embedding::DOUBLE[]])) AS n FROM embeddings)), S AS")} {_TOP} QUALIFY rank <= 10"""
-)
+_UNIT = """N AS (SELECT vec_id, [x / n for x in v] AS u FROM
+    (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum([x * x for x in embedding::DOUBLE[]])) AS n FROM embeddings)),
+    S AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum([z[1] * z[2] for z in list_zip(q.u, e.u)]) AS score FROM N q, N e WHERE q.vec_id % 20 = 0)"""
+
+
+@register(f"WITH {_UNIT} {_TOP} QUALIFY rank <= 10")
 def cosine_topk(spark, sf_dir):
     rows, qs = rows_of(spark, sf_dir), queries_of(spark, sf_dir)
     rows, qs = rows.withColumn("embedding", V.unit(F.col("embedding"))), qs.withColumn("q", V.unit(F.col("q")))

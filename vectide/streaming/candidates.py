@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import threading
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Limits
@@ -82,19 +86,14 @@ def top_k_by_feed(rows: DataFrame, query: Sequence[float], k: int, **options) ->
 
 def numbered_batches(candidates: DataFrame, batch_bytes: int = Limits().batch_bytes) -> DataFrame:
     """candidates with batch: records of 12 bytes in score order, as many as fit into a batch; never an empty one."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "shard", "slot")
     return candidates.withColumn("batch", F.floor((F.row_number().over(w) - 1) * 12 / batch_bytes).cast("long"))
 
 
 def packed_records(candidates: DataFrame) -> DataFrame:
     """query_id, record: label as little-endian u64, score as little-endian f32 (H7)."""
-    import pyarrow as pa
-
-    def run(batches):
-        import numpy as np
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = np.zeros(b.num_rows, dtype=[("l", "<u8"), ("s", "<f4")])
             rows["l"], rows["s"] = b.column("label").to_numpy(zero_copy_only=False), b.column("score").to_numpy(zero_copy_only=False)
@@ -104,11 +103,8 @@ def packed_records(candidates: DataFrame) -> DataFrame:
     return candidates.select("query_id", "label", "score").mapInArrow(run, "query_id long, record binary")
 
 
-def with_deadline(spark, seconds: float, action: Callable):
+def with_deadline(spark: SparkSession, seconds: float, action: Callable):
     """action() under a job group that is cancelled when the time is up (I7); its error is then a TimeoutError."""
-    import threading
-    import uuid
-
     group, late = uuid.uuid4().hex, threading.Event()
     spark.sparkContext.setJobGroup(group, "request", interruptOnCancel=True)
 
