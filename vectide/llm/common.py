@@ -45,7 +45,7 @@ def flat(df: DataFrame, result: str = "res", row: str = "row") -> DataFrame:
 
 
 #: Bytes of an Arrow batch, so that long texts make batches of fewer rows and not larger ones.
-_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
