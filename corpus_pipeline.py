@@ -16,8 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks of lines; one that had words and has none left is dropped. n_chars follows the text."""
-    got = line_dedup.dedupe_lines(docs)
+    """Documents without repeated passages of two or more lines; one that had words and has none left is dropped. n_chars follows the text."""
+    got = line_dedup.dedupe_passages(docs)
     bare = F.coalesce(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
     row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:

@@ -1,15 +1,21 @@
-"""Removal of repeated multi-line chunks with content-defined boundaries.
+"""Removal of repeated passages of two or more lines.
 
-A rolling hash over the hashes of the last ``window`` lines ends a chunk wherever it is 0 modulo ``spread``, so chunks
-end at the same lines in every document that holds a passage, wherever it starts. Chunks of two or more lines with
-words are grouped by hash. Where a hash stands for one text only (the group's least and greatest bytes are equal) the
-first chunk in document order stays and the others are removed; where two texts share a hash, they are grouped by
+Any passage of two or more lines with words that equals an earlier one consists of line pairs (a line with words, the next one
+and what blank lines lie between) that each occur earlier, and each such pair is a passage itself. So pairs grouped by hash, of
+which all but the first go, remove exactly the union of all repeated passages, wherever they start and end: dedupe_passages().
+
+dedupe_lines() removes only whole chunks with content-defined boundaries, in half the rows. A rolling hash over the hashes of the last ``window`` lines ends a chunk wherever it is 0 modulo ``spread``, so chunks
+end at the same lines in every document that holds a passage, wherever it starts; what a passage holds before its first and after its
+last boundary stays. Chunks of two or more lines with words are grouped by hash.
+
+Where a hash stands for one text only (the group's least and greatest bytes are equal) the
+first piece in document order stays and the others are removed; where two texts share a hash, they are grouped by
 their bytes instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -36,8 +42,28 @@ def chunk_bounds(lines: list[bytes], window: int, spread: int) -> list[int]:
     return ends
 
 
+def chunk_ranges(lines: list[bytes], window: int, spread: int) -> Iterator[tuple[int, int]]:
+    """First and last (exclusive) line of each chunk of two or more lines with words."""
+    start = 0
+    for end in chunk_bounds(lines, window, spread):
+        if end - start > 1 and sum(1 for x in lines[start:end] if x.strip()) > 1:
+            yield start, end
+        start = end
+
+
+def pair_ranges(lines: list[bytes]) -> Iterator[tuple[int, int]]:
+    """First and last (exclusive) line of each pair of neighbouring lines with words; blank lines between them belong to it."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    for a, b in zip(full, full[1:], strict=False):
+        yield a, b + 1
+
+
 def _chunks(docs: DataFrame, window: int, spread: int, with_text: bool) -> DataFrame:
-    """key, first, last (lines), h and the text of each chunk of two or more lines with words. docs: key, text."""
+    return _pieces(docs, lambda lines: chunk_ranges(lines, window, spread), with_text)
+
+
+def _pieces(docs: DataFrame, ranges: Callable[[list[bytes]], Iterator[tuple[int, int]]], with_text: bool) -> DataFrame:
+    """key, first, last (lines), h and the text of each piece that ranges() names. docs: key, text."""
     schema = f"{docs.select('key').schema.simpleString()[7:-1].replace('key:', 'key ', 1)}, first int, last int, h binary"
     schema += ", chunk binary" if with_text else ""
     types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
@@ -50,15 +76,11 @@ def _chunks(docs: DataFrame, window: int, spread: int, with_text: bool) -> DataF
                 lines = t.encode("utf-8", "surrogatepass").split(b"\n") if t else []
                 if len(lines) < 2:
                     continue
-                start = 0
-                for end in chunk_bounds(lines, window, spread):
-                    part = lines[start:end]
-                    if end - start > 1 and sum(1 for x in part if x.strip()) > 1:
-                        chunk = b"\n".join(part)
-                        rows.append(k)
-                        for v, x in zip(values, (start, end, xxhash.xxh3_128_digest(chunk), chunk), strict=False):
-                            v.append(x)
-                    start = end
+                for start, end in ranges(lines):
+                    chunk = b"\n".join(lines[start:end])
+                    rows.append(k)
+                    for v, x in zip(values, (start, end, xxhash.xxh3_128_digest(chunk), chunk), strict=False):
+                        v.append(x)
             arrays = [pa.array(v, t) for v, t in zip(values, types, strict=False)]
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rows, pa.int64())), *arrays], names=["key", *names])
 
@@ -72,20 +94,31 @@ def _key(doc_id: Column, text: Column) -> Column:
 
 def repeated_chunks(docs: DataFrame, *, window: int = 2, spread: int = 4) -> DataFrame:
     """key, first, last: the line ranges to remove. docs: key, text."""
-    chunks = _chunks(docs, window, spread, True)
-    place = F.struct("key", "first")
+    return _all_but_first(lambda with_text: _chunks(docs, window, spread, with_text))
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """key, first, last: the line ranges to remove, which overlap by a line where a passage is longer than two. docs: key, text."""
+    return _all_but_first(lambda with_text: _pieces(docs, pair_ranges, with_text))
+
+
+def _all_but_first(pieces: Callable[[bool], DataFrame]) -> DataFrame:
+    """key, first, last of the pieces that equal an earlier one which they don't overlap. pieces(True) has the texts too."""
+    chunks = pieces(True)
+    place = F.struct("key", "first", "last")
+    copy = ~(F.col("key").eqNullSafe(F.col("kept.key")) & (F.col("first") < F.col("kept.last")))
     groups = chunks.groupBy("h").agg(
         F.count("*").alias("n"), F.min(place).alias("kept"), F.min("chunk").alias("least"), F.max("chunk").alias("most")
     )
     groups = stored(groups.where("n > 1").select("h", "kept", (F.col("least") == F.col("most")).alias("same")))
-    small = _chunks(docs, window, spread, False)
-    gone = small.join(groups.where("same").drop("same"), "h").where(~place.eqNullSafe(F.col("kept"))).select("key", "first", "last")
+    small = pieces(False)
+    gone = small.join(groups.where("same").drop("same"), "h").where(copy).select("key", "first", "last")
     clash = groups.where("not same").select("h")
     if clash.isEmpty():
         return gone
     mixed = chunks.join(clash, "h")
     texts = mixed.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("kept")).where("n > 1")
-    more = mixed.join(texts, ["h", "chunk"]).where(~place.eqNullSafe(F.col("kept")))
+    more = mixed.join(texts, ["h", "chunk"]).where(copy)
     return gone.unionByName(more.select("key", "first", "last"))
 
 
@@ -97,11 +130,28 @@ def dedupe_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     a text are one document: they get the same result, and none of them is the other's copy. Everything outside
     removed chunks is kept byte by byte; a document whose every line is removed has an empty text.
     """
+    return _without(docs, lambda d: repeated_chunks(d, window=window, spread=spread), text, doc_id, keep)
+
+
+def dedupe_passages(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """(row, text, n_lines, n_removed) per document: the text without any passage that equals an earlier one.
+
+    A passage starts and ends with a line with words and has two such lines or more; its bytes count. Earlier is what lies in
+    a lesser document (by id, then text hash; a null id comes first) or further up in the same one without overlap. The first
+    occurrence of a line always stays. Rows and texts are treated as in dedupe_lines().
+    """
+    return _without(docs, repeated_pairs, text, doc_id, keep)
+
+
+def _without(docs: DataFrame, repeated: Callable[[DataFrame], DataFrame], text: str, doc_id: str, keep: list[str] | None) -> DataFrame:
     d = docs.select(packed(docs, keep).alias("row"), col(text).cast("string").alias("text"), col(doc_id).alias("id"))
     d = d.withColumn("key", _key(F.col("id"), F.col("text"))).drop("id")
-    gone = repeated_chunks(d, window=window, spread=spread).distinct()
+    gone = repeated(d).distinct()
     lists = gone.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
     lists = lists.select(F.col("key.id").alias("id"), F.col("key.t").alias("t"), F.array_sort("gone").alias("gone"))
+    # where ranges overlap, the later one starts at the end of the one before
+    last = lambda i: F.coalesce(F.get("gone", i - 1)["last"], F.lit(0))
+    lists = lists.withColumn("gone", F.transform("gone", lambda g, i: F.struct(F.greatest(g["first"], last(i)).alias("first"), g["last"].alias("last"))))
     same = F.col("key.id").eqNullSafe(F.col("id")) & (F.col("key.t") == F.col("t"))
     d = d.join(lists, same, "left")
     lines = F.split("text", "\n")

@@ -40,7 +40,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = line_dedup.dedupe_lines(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    got = line_dedup.dedupe_passages(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return got.select("row.doc_id", "n_lines", "n_removed", "text")
 
 
