@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 import xxhash
 from llm_texts import lined, prose
+from test_brute_force import brute_classes, plain_distance
 
-from vectide.llm import line_dedup
+from vectide.llm import line_dedup, near_dedup
 
 
 # 7 -----------------------------------------------------------------------------------------------------------
@@ -63,3 +67,40 @@ def test_passages_of_two_lines_go_from_the_query(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.n_removed for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {n: 0 if n < 30 else len(passages[n - 30].split("\n")) for n in range(60)}
+
+
+# 8 -----------------------------------------------------------------------------------------------------------
+def last_two(make):
+    """The two of 300 variants with the greatest MD5, which are never the head of a bucket that holds any other text."""
+    return sorted((make(i) for i in range(300)), key=lambda t: hashlib.md5(t.encode()).digest())[-2:]
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_no_link_is_lost_in_a_much_quoted_passage(spark, monkeypatch, block):
+    """Two near copies that consist of the passage: in every bucket they share, the head is a text too long to be near."""
+    monkeypatch.setattr(near_dedup, "_BLOCK", block)
+    quoted = random.Random(4).sample([f"w{i}" for i in range(400)], 100)
+    own = lambda i: [f"own{i}x{k}" for k in range(14)]
+    texts = [" ".join([*own(i), *quoted, *own(i + 500)]) for i in range(60)]
+    texts += last_two(lambda i: " ".join([*quoted, f"added{i}"]))
+    docs = list(enumerate(texts))
+    got = near_dedup.label_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    want = brute_classes(docs)
+    assert (61, 60) in want
+    assert {(r.doc_id, r.class_id) for r in got.collect()} == want
+
+
+def test_bags_exclude_no_similar_pair():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 40, 60).astype(np.uint64)
+    texts = []
+    for edits in range(40):
+        t = base.copy()
+        t[rng.choice(60, edits % 20, replace=False)] = rng.integers(0, 60, edits % 20)
+        texts.append(near_dedup.mix(np.delete(t, rng.choice(60, edits % 7, replace=False))))
+    n = np.array([len(t) for t in texts])
+    yes, side = np.ones(len(n), dtype=bool), np.zeros(len(n), dtype=bool)
+    bags = np.array([near_dedup.word_bag(t) for t in texts])
+    found = {(i, int(j)) for i, js in near_dedup.possible_pairs(n, bags, np.arange(len(n)), yes, side, 0.8) for j in js}
+    near = {(i, j) for j in range(len(n)) for i in range(j) if plain_distance(texts[i].tolist(), texts[j].tolist()) <= 0.2 * max(n[i], n[j]) + 1e-9}
+    assert near and near <= found and len(found) < len(n) * (len(n) - 1) / 2

@@ -5,14 +5,17 @@ number, so a text that repeats one differs from a text that doesn't. Each of ``s
 takes the ``size`` least of them and keeps these in text order; two texts with shingle similarity s share one such
 sketch with a probability near s**size, and only if the order agrees too, which is what edits keep and shuffled text loses.
 
-Classes that share a sketch meet in a bucket. A bucket is never paired up: its members are compared with one head,
-then within the bucket with heads of the finer groups that share the next one or two sketches too, as long as they are not
-yet connected. A pair is a near-duplicate if its word-level edit distance, within a band that the threshold
+Classes that share a sketch meet in a bucket. Its members are compared with one head, then with heads of the finer groups
+that share the next one or two sketches too, then with heads of near length, as long as they are not yet connected. These
+rounds connect most of what is near; buckets that still hold unconnected members are then settled exactly. Of each such pair
+whose lengths allow it, the counts of words by hash bound the distance from below, block by block; the pairs left are aligned.
+So no link between two members of a bucket is lost. A pair is a near-duplicate if its word-level edit distance, within a band that the threshold
 sets, leaves a similarity of ``similarity`` or more. Groups are the connected components of these links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +27,9 @@ from .common import Scratch, col, map_arrow, mix, shingles, stored, word_hashes
 
 _WORDS = 5
 
+#: Words are counted by hash in so many cells, and members of a bucket are compared in blocks of about so many.
+_CELLS, _BLOCK = 128, 256
+
 
 def order_sketches(hashes: np.ndarray, sketches: int, size: int) -> np.ndarray:
     """One hash per function: its ``size`` least occurrence-labelled k-mers, in text order."""
@@ -128,22 +134,87 @@ def _wide(a: np.ndarray, b: np.ndarray, most: int, d: int, known: dict[int, int]
 
 
 def _classes(docs: DataFrame, sketches: int, size: int) -> DataFrame:
-    """key, id, n (words), sketch: one row per text. docs: key, id, text."""
+    """key, id, n (words), sketch, bag (word counts by hash): one row per text. docs: key, id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, out = [], []
+            n, out, bags = [], [], []
             for t in b.column("text").to_pylist():
                 h = word_hashes(t)
                 n.append(len(h))
                 out.append(order_sketches(h, sketches, size))
+                bags.append(word_bag(h).tobytes())
             flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, sketches), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(n, pa.int64()), lists], names=["key", "id", "n", "sketch"])
+            arrays = [b.column("key"), b.column("id"), pa.array(n, pa.int64()), lists, pa.array(bags, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "id", "n", "sketch", "bag"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    rows = map_arrow(docs, run, f"key binary, id {kind}, n bigint, sketch array<bigint>")
-    return rows.groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    rows = map_arrow(docs, run, f"key binary, id {kind}, n bigint, sketch array<bigint>, bag binary")
+    return rows.groupBy("key").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in ("n", "sketch", "bag")])
+
+
+def word_bag(hashes: np.ndarray) -> np.ndarray:
+    """How many words fall in each cell, 65535 at most."""
+    cells = (hashes >> np.uint64(40)).astype(np.int64) % _CELLS
+    return np.minimum(np.bincount(cells, minlength=_CELLS), 65535).astype("<u2")
+
+
+def possible_pairs(n: np.ndarray, bags: np.ndarray, groups: np.ndarray, home: np.ndarray, side: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, those j > i) that can be similar: of other groups, not both away from home, of near lengths and with near bags.
+
+    side: 0 or 1; where both occur only pairs of different sides are given. An edit changes at most one word on each
+    side, so neither text can hold more words that the other lacks than there are edits.
+    """
+    bags, two = bags.astype(np.int32), len(np.unique(side)) > 1
+    total = bags.sum(axis=1)
+    for i in range(len(n) - 1):
+        longer = np.maximum(n[i + 1 :], n[i])
+        most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+        ok = (groups[i + 1 :] != groups[i]) & (home[i + 1 :] | home[i]) & (np.abs(n[i + 1 :] - n[i]) <= most)
+        if two:
+            ok &= side[i + 1 :] != side[i]
+        j = np.flatnonzero(ok) + i + 1
+        if len(j):
+            apart = (np.abs(bags[j] - bags[i]).sum(axis=1) + np.abs(total[j] - total[i])) // 2
+            j = j[apart <= most[j - i - 1]]
+            if len(j):
+                yield i, j
+
+
+def _possible(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b (a < b): the pairs within a bucket that can be similar and aren't connected. members: band, s, c, home, key, n, r, bag.
+
+    A bucket is dealt into blocks by hash and each two blocks meet in one row, so memory is that of two blocks.
+    """
+    by = ["band", "s", "c"]
+    size = members.groupBy(*by).agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
+    d = members.join(size, by).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    d = d.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    d = d.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("side", F.col("own") == F.col("j"))
+    fields = ("key", "r", "n", "home", "side", "bag")
+    d = d.groupBy(*by, "i", "j").agg(F.collect_list(F.struct(*fields)).alias("m")).select("m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for m in batch.column("m"):
+                v = m.values
+                if len(v) < 2:
+                    continue
+                get = lambda c: v.field(v.type.get_field_index(c))  # noqa: B023, E731
+                keys = get("key").to_pylist()
+                number = {r: k for k, r in enumerate(sorted(set(get("r").to_pylist())))}
+                groups = np.array([number[r] for r in get("r").to_pylist()])
+                bags = np.frombuffer(b"".join(get("bag").to_pylist()), dtype="<u2").reshape(len(v), _CELLS)
+                flags = [get(c).to_numpy(zero_copy_only=False) for c in ("n", "home", "side")]
+                for i, js in possible_pairs(flags[0], bags, groups, flags[1], flags[2], similarity):
+                    for j in js:
+                        a.append(min(keys[i], keys[j]))
+                        b.append(max(keys[i], keys[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return map_arrow(d, run, "a binary, b binary").distinct()
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -234,6 +305,28 @@ def _grouped(d: DataFrame, similarity: float, sketches: int, size: int, scratch:
         if not more.isEmpty():
             roots = components(_linked(more, texts, similarity), roots, narrow)
             tried = tried.union(more)
+    # what is left: buckets by length, a text in its own class and the next, so that any two of near lengths meet
+    own = F.floor(F.log("n") / -math.log(max(similarity, 1e-9) * 0.999)).cast("int")
+    spots = F.explode(F.array(*[F.struct((own + k).alias("c"), F.lit(k == 0).alias("home")) for k in (0, 1)]))
+
+    def unsettled(roots: DataFrame) -> DataFrame:
+        """key, n, r, band, s, c, home of the members of buckets that hold more than one group."""
+        m = met.select("key", "n", "band", "s", spots.alias("x")).select("key", "n", "band", "s", "x.*")
+        m = m.join(roots.select(F.col("node").alias("key"), F.col("root").alias("r")), "key", "left").withColumn("r", F.coalesce("r", "key"))
+        mixed = m.groupBy("band", "s", "c").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.max("home").alias("any")).where("r1 <> r2 and any")
+        return keep(m.join(mixed.select("band", "s", "c"), ["band", "s", "c"]))
+
+    left = unsettled(roots)
+    if not left.isEmpty():
+        more = narrow(apart(pairs(left.join(left.groupBy("band", "s", "c").agg(*least), ["band", "s", "c"])), roots, tried))
+        if not more.isEmpty():
+            roots = components(_linked(more, texts, similarity), roots, narrow)
+            tried = tried.union(more)
+            left = unsettled(roots)
+        bags = left.join(classes.select("key", "bag"), "key")
+        more = keep(_possible(bags, similarity).join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            roots = components(_linked(more, texts, similarity), roots, narrow)
     out = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     return out.select("key", "id", "n", "root")
 
