@@ -104,3 +104,13 @@ def test_bags_exclude_no_similar_pair():
     found = {(i, int(j)) for i, js in near_dedup.possible_pairs(n, bags, np.arange(len(n)), yes, side, 0.8) for j in js}
     near = {(i, j) for j in range(len(n)) for i in range(j) if plain_distance(texts[i].tolist(), texts[j].tolist()) <= 0.2 * max(n[i], n[j]) + 1e-9}
     assert near and near <= found and len(found) < len(n) * (len(n) - 1) / 2
+
+
+def test_a_group_with_a_null_id_keeps_one_document(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, 60) for _ in range(3)]
+    near = [" ".join([*t[:30], "changed", *t[31:]]) for t in texts]
+    rows = [(None, " ".join(texts[0])), (7, near[0]), (3, " ".join(texts[1])), (None, near[1]), (None, " ".join(texts[2])), (None, near[2])]
+    kept = near_dedup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 3), (False, 7), (True, 0)]
+    assert {(r.doc_id, r.text) for r in kept if r.doc_id} == {rows[1], rows[2]}

@@ -344,9 +344,10 @@ def label_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str =
 
 
 def without_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """One document of each group, with its own columns: that with the least id, of equal rows any one."""
+    """One document of each group, with its own columns: that with the least id (a null one only if there is no other), of equal rows any one."""
     classes = near_duplicate_classes(docs, text=text, doc_id=doc_id, **options)
-    best = classes.groupBy("root").agg(F.min_by("key", F.struct("id", "key")).alias("key"), F.min("id").alias("id"))
+    first = F.min_by(F.struct("key", "id"), F.struct(F.col("id").isNull(), "id", "key")).alias("x")
+    best = classes.groupBy("root").agg(first).select("x.*")
     t = F.unhex(F.md5(F.coalesce(col(text).cast("string"), F.lit(""))))
     d = docs.select(F.struct(*[col(c).alias(c) for c in docs.columns]).alias("row"), t.alias("key"), col(doc_id).alias("id"))
     mine = d.join(best.select(F.col("key").alias("k"), F.col("id").alias("i")), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")))
