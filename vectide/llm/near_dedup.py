@@ -9,7 +9,8 @@ Classes that share a sketch meet in a bucket. Its members are compared with one
 that share the next one or two sketches too, then with heads of near length, as long as they are not yet connected. These
 rounds connect most of what is near; buckets that still hold unconnected members are then settled exactly. Of each such pair
 whose lengths allow it, the counts of words by hash bound the distance from below, block by block; the pairs left are aligned.
-So no link between two members of a bucket is lost. A pair is a near-duplicate if its word-level edit distance, within a band that the threshold
+So no link between two members of a bucket is lost; a near pair that shares no bucket is. With 24 sketches of two that is one in
+seventy at an edit similarity of 0.9 by scattered changes, one in seven at 0.85 and nearly half at 0.8 (200 words). A pair is a near-duplicate if its word-level edit distance, within a band that the threshold
 sets, leaves a similarity of ``similarity`` or more. Groups are the connected components of these links.
 """
 
