@@ -100,8 +100,8 @@ def test_bags_exclude_no_similar_pair():
         texts.append(near_dedup.mix(np.delete(t, rng.choice(60, edits % 7, replace=False))))
     n = np.array([len(t) for t in texts])
     yes, side = np.ones(len(n), dtype=bool), np.zeros(len(n), dtype=bool)
-    bags = np.array([near_dedup.word_bag(t) for t in texts])
-    found = {(i, int(j)) for i, js in near_dedup.possible_pairs(n, bags, np.arange(len(n)), yes, side, 0.8) for j in js}
+    bags = [near_dedup.word_bag(t).tobytes() for t in texts]
+    found = {(int(i), int(j)) for i, j, _ in zip(*near_dedup.possible_pairs(n, bags, np.arange(len(n)), yes, side, 0.8), strict=True)}
     near = {(i, j) for j in range(len(n)) for i in range(j) if plain_distance(texts[i].tolist(), texts[j].tolist()) <= 0.2 * max(n[i], n[j]) + 1e-9}
     assert near and near <= found and len(found) < len(n) * (len(n) - 1) / 2
 
@@ -114,3 +114,30 @@ def test_a_group_with_a_null_id_keeps_one_document(spark):
     kept = near_dedup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 3), (False, 7), (True, 0)]
     assert {(r.doc_id, r.text) for r in kept if r.doc_id} == {rows[1], rows[2]}
+
+
+def test_members_of_a_large_group_meet_the_others(spark, monkeypatch):
+    """A bucket's greatest group, dealt into lots, and the few texts outside it, one of which is near to some of its members only."""
+    monkeypatch.setattr(near_dedup, "_BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "_LOT", 3)
+    rng = random.Random(6)
+    base = prose(rng, 100)
+    texts = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(40)]
+    far = [*base[:55], *prose(rng, 17), *base[72:]]
+    texts += [" ".join(far), " ".join([*far[:10], *prose(rng, 12), *far[22:]]), " ".join(prose(rng, 100))]
+    docs = list(enumerate(texts))
+    got = near_dedup.label_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert {(r.doc_id, r.class_id) for r in got.collect()} == brute_classes(docs)
+
+
+def test_texts_before_a_cut_count_too(spark):
+    rng = random.Random(8)
+    lines = [" ".join(prose(rng, 20)) for _ in range(6)]
+    copy = [*lines[:3], *[f"changed {x}" for x in lines[3:]]]
+    other = " ".join(prose(rng, 60))
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(copy[3:])), (3, other), (None, None)], "doc_id long, text string")
+    earlier = spark.createDataFrame([("\n".join(copy[3:]), "\n".join(copy)), (other, other)], "text string, before string")
+    ids = lambda df: sorted((r.doc_id or 0) for r in df.collect())
+    assert ids(near_dedup.without_near_duplicates(docs)) == [0, 1, 2, 3]
+    assert ids(near_dedup.without_near_duplicates(docs, earlier=earlier)) == [0, 1, 3]
+    assert ids(near_dedup.without_near_duplicates(docs, earlier=earlier.where("false"))) == [0, 1, 2, 3]

@@ -1,16 +1,15 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
 Byte-equal texts form a class and only classes go on. A class's k-mers (five words) are labelled with their occurrence
-number, so a text that repeats one differs from a text that doesn't. Each of ``sketches`` hash functions
-takes the ``size`` least of them and keeps these in text order; two texts with shingle similarity s share one such
-sketch with a probability near s**size, and only if the order agrees too, which is what edits keep and shuffled text loses.
-
-Classes that share a sketch meet in a bucket. Its members are compared with one head, then with heads of the finer groups
-that share the next one or two sketches too, then with heads of near length, as long as they are not yet connected. These
-rounds connect most of what is near; buckets that still hold unconnected members are then settled exactly. Of each such pair
-whose lengths allow it, the counts of words by hash bound the distance from below, block by block; the pairs left are aligned.
-So no link between two members of a bucket is lost; a near pair that shares no bucket is. With 24 sketches of two that is one in
-seventy at an edit similarity of 0.9 by scattered changes, one in seven at 0.85 and nearly half at 0.8 (200 words). A pair is a near-duplicate if its word-level edit distance, within a band that the threshold
+number, so a text that repeats one differs from a text that doesn't. Each of ``functions`` hash functions samples
+the ``least`` least of them and keeps these in text order; every two of a sample, in that order, are a sketch. Two texts share one only if
+their order agrees too, which is what edits keep and shuffled text loses.
+
+Classes that share a sketch and are of near length meet in a bucket. Each is compared with one head of its buckets, which
+connects most of what is near. Buckets that still hold unconnected members are settled exactly: of each such pair
+whose lengths allow it, the words that only one of them holds bound the distance from below. Of the pairs left, the nearest of each two groups
+is aligned first, then all that are still unconnected. So no link between two members of a bucket is lost; a near pair that
+shares no bucket is. A pair is a near-duplicate if its word-level edit distance, within a band that the threshold
 sets, leaves a similarity of ``similarity`` or more. Groups are the connected components of these links.
 """
 
@@ -21,22 +20,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, col, map_arrow, mix, shingles, stored, word_hashes
 
 _WORDS = 5
 
-#: Words are counted by hash in so many cells, and members of a bucket are compared in blocks of about so many.
-_CELLS, _BLOCK = 128, 256
+#: Texts of _SHORT[1] words at most are sketched by k-mers of three words, those of _SHORT[0] at least by five.
+_FEW_WORDS, _SHORT = 3, (20, 30)
 
+#: Words are told apart by hash in so many cells at most, and members of a bucket are compared in blocks of about so many.
+_CELLS, _BLOCK = 1 << 16, 256
 
-def order_sketches(hashes: np.ndarray, sketches: int, size: int) -> np.ndarray:
-    """One hash per function: its ``size`` least occurrence-labelled k-mers, in text order."""
-    h = shingles(hashes, _WORDS) if len(hashes) >= _WORDS else shingles(hashes, max(1, len(hashes)))
-    if not len(h):
-        return np.zeros(sketches, dtype=np.uint64)
+#: Alignments walk along diagonals up to so many edits; up to so many words rows are then kept as bits.
+_FEW, _BITS = 24, 1 << 15
+
+#: Pairs with one text are dealt out in lots of about so many.
+_LOT = 256
+
+
+def labelled_kmers(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k-mer and of how many equal ones stand before it; of the whole text if it is shorter."""
+    h = shingles(hashes, k) if len(hashes) >= k else shingles(hashes, max(1, len(hashes)))
     order = np.argsort(h, kind="stable")
     s = h[order]
     new = np.r_[True, s[1:] != s[:-1]]
@@ -45,31 +51,42 @@ def order_sketches(hashes: np.ndarray, sketches: int, size: int) -> np.ndarray:
         nth = at - np.maximum.accumulate(np.where(new, at, 0))
         h = h.copy()
         h[order] = np.where(nth > 0, mix(s + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), s)
-    size = min(size, len(h))
-    out = np.empty(sketches, dtype=np.uint64)
-    seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64))
-    rows = max(1, (1 << 20) // len(h))
-    for a in range(0, sketches, rows):
-        own = seeds[a : a + rows]
-        v = (h[None, :] ^ own[:, None]) * np.uint64(0x9FB21C651E98DF25)
+    return h
+
+
+def order_sketches(h: np.ndarray, functions: int, least: int) -> np.ndarray:
+    """The distinct hashes of two k-mers in text order: of each function's ``least`` least k-mers every two are taken."""
+    if len(h) < 2:
+        return mix(h)
+    least = min(least, len(h))
+    seeds = mix(np.arange(1, functions + 1, dtype=np.uint64))
+    rows, out = max(1, (1 << 20) // len(h)), []
+    first, second = np.triu_indices(least, 1)
+    for a in range(0, functions, rows):
+        v = (h[None, :] ^ seeds[a : a + rows, None]) * np.uint64(0x9FB21C651E98DF25)
         v ^= v >> np.uint64(32)
-        least = []
-        for k in range(size):
-            at = v.argmin(axis=1)
-            least.append(at)
-            if k + 1 < size:
-                v[np.arange(len(own)), at] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        sketch = np.zeros(len(own), dtype=np.uint64)
-        for at in np.sort(np.array(least), axis=0):
-            sketch = mix(sketch + h[at])
-        out[a : a + rows] = sketch
-    return out
+        at = np.sort(np.argpartition(v, least - 1, axis=1)[:, :least], axis=1) if least < len(h) else np.arange(len(h))[None, :]
+        kept = h[at]
+        out.append(mix(mix(kept[:, first]) + kept[:, second]).ravel())
+    return np.unique(np.concatenate(out))
+
+
+def text_sketches(hashes: np.ndarray, functions: int, least: int) -> np.ndarray:
+    """The sketches of a text's five-word k-mers, and of shorter ones for a text so short that one edit may touch most of those.
+
+    Any two texts of near lengths (4 to 5) have one kind of sketch in common.
+    """
+    out = [order_sketches(labelled_kmers(hashes, _WORDS), functions, least)] if len(hashes) >= _SHORT[0] else []
+    if len(hashes) <= _SHORT[1]:
+        out.append(mix(order_sketches(labelled_kmers(hashes, _FEW_WORDS), functions, least)))
+    return np.concatenate(out) if len(hashes) else np.zeros(0, dtype=np.uint64)
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Word-level Levenshtein distance if it is at most ``most``, else None; only diagonals within that band are walked.
 
-    Walks the furthest reach of each diagonal, one edit after the other, so near texts cost little more than their length.
+    Walks the furthest reach of each diagonal, one edit after the other, so near texts cost little more than their length;
+    those with many edits are then taken row by row.
     """
     n = min(len(a), len(b))
     if abs(len(a) - len(b)) > most:
@@ -89,9 +106,14 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     if max(np.maximum(ca - cb, 0).sum(), np.maximum(cb - ca, 0).sum()) > most:
         return None
     a, b = inverse[:n].astype(np.int64), inverse[n:].astype(np.int64)
+    if n > 1 and m > 1:  # an edit changes two pairs of neighbours on either side at most
+        _, twos = np.unique(np.concatenate([a[:-1] * len(ids) + a[1:], b[:-1] * len(ids) + b[1:]]), return_inverse=True)
+        ca, cb = np.bincount(twos[: n - 1], minlength=n + m), np.bincount(twos[n - 1 :], minlength=n + m)
+        if max(np.maximum(ca - cb, 0).sum(), np.maximum(cb - ca, 0).sum()) > 2 * most:
+            return None
     la, lb = a.tolist(), b.tolist()
     goal, reach = m - n, {0: -1}
-    for d in range(min(most, 64) + 1):
+    for d in range(min(most, _FEW) + 1):
         now = {}
         for k in range(-min(d, n), min(d, m) + 1):
             i = 0 if d == 0 else max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
@@ -104,13 +126,33 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         if now.get(goal, -1) >= n:
             return d
         reach = now
-    if most <= 64:
+    if most <= _FEW:
         return None
-    return _wide(a, b, most, 64, reach)
+    return _rows(la, lb, most) if n <= _BITS else _wide(a, b, most, _FEW, reach)
+
+
+def _rows(a: list[int], b: list[int], most: int) -> int | None:
+    """The distance by rows whose differences are bits of two whole numbers; stops where the last row has left the band."""
+    at: dict[int, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    n, left = len(a), len(b)
+    full, last, up, down, d = (1 << n) - 1, 1 << (n - 1), (1 << n) - 1, 0, n
+    for x in b:
+        same = at.get(x, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (~(across | up) & full), up & across
+        d += 1 if more & last else -1 if less & last else 0
+        left -= 1
+        if d - left > most:
+            return None
+        more, same = more << 1 | 1, same | down
+        up, down = (less << 1 | ~(same | more)) & full, more & same
+    return d if d <= most else None
 
 
 def _wide(a: np.ndarray, b: np.ndarray, most: int, d: int, known: dict[int, int]) -> int | None:
-    """The same walk with all diagonals of a step in one array, for distances over 64."""
+    """The walk again with all diagonals of a step in one array, for texts too long for _rows()."""
     n, m = len(a), len(b)
     low, high = -min(most, n), min(most, m)
     k = np.arange(low, high + 1)
@@ -134,92 +176,119 @@ def _wide(a: np.ndarray, b: np.ndarray, most: int, d: int, known: dict[int, int]
     return None
 
 
-def _classes(docs: DataFrame, sketches: int, size: int) -> DataFrame:
-    """key, id, n (words), sketch, bag (word counts by hash): one row per text. docs: key, id, text."""
+def _classes(docs: DataFrame, functions: int, least: int) -> DataFrame:
+    """key, id, n (words), sketch: one row per text. docs: key, id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, out, bags = [], [], []
+            n, out = [], []
             for t in b.column("text").to_pylist():
                 h = word_hashes(t)
                 n.append(len(h))
-                out.append(order_sketches(h, sketches, size))
-                bags.append(word_bag(h).tobytes())
+                out.append(text_sketches(h, functions, least))
+            ends = np.r_[0, np.cumsum([len(x) for x in out])]
             flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, sketches), pa.int32()), pa.array(flat))
-            arrays = [b.column("key"), b.column("id"), pa.array(n, pa.int64()), lists, pa.array(bags, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "id", "n", "sketch", "bag"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(n, pa.int64()), lists], names=["key", "id", "n", "sketch"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    rows = map_arrow(docs, run, f"key binary, id {kind}, n bigint, sketch array<bigint>, bag binary")
-    return rows.groupBy("key").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in ("n", "sketch", "bag")])
+    rows = map_arrow(docs, run, f"key binary, id {kind}, n bigint, sketch array<bigint>")
+    return rows.groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
 
 
 def word_bag(hashes: np.ndarray) -> np.ndarray:
-    """How many words fall in each cell, 65535 at most."""
-    cells = (hashes >> np.uint64(40)).astype(np.int64) % _CELLS
-    return np.minimum(np.bincount(cells, minlength=_CELLS), 65535).astype("<u2")
+    """Which cells the words fall in, each with its occurrence number, as packed bits."""
+    h = labelled_kmers(hashes, 1)
+    bits = np.zeros(min(1 << max(6, (8 * len(h) - 1).bit_length()), _CELLS), dtype=bool)
+    bits[(h >> np.uint64(20)) & np.uint64(len(bits) - 1)] = True
+    return np.packbits(bits)
+
 
+def same_cells(bags: list[bytes]) -> np.ndarray:
+    """The bags as rows of 0 and 1 with as many cells as the smallest has: the halves of a larger one are laid upon each other."""
+    cells = min(map(len, bags)) * 8
+    return np.array([np.unpackbits(np.frombuffer(x, dtype=np.uint8)).reshape(-1, cells).max(axis=0) for x in bags], dtype=np.float32)
 
-def possible_pairs(n: np.ndarray, bags: np.ndarray, groups: np.ndarray, home: np.ndarray, side: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, those j > i) that can be similar: of other groups, not both away from home, of near lengths and with near bags.
 
-    side: 0 or 1; where both occur only pairs of different sides are given. An edit changes at most one word on each
-    side, so neither text can hold more words that the other lacks than there are edits.
+def _bags(texts: DataFrame) -> DataFrame:
+    """key, bag of each of the texts (key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [word_bag(word_hashes(t)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(bags, pa.binary())], names=["key", "bag"])
+
+    return map_arrow(texts.select("key", "text"), run, "key binary, bag binary")
+
+
+def possible_pairs(n: np.ndarray, bags: list[bytes], groups: np.ndarray, home: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j (i < j), apart: pairs that can be similar: of other groups, not both away from home, of near lengths and with near bags.
+
+    side: 0 or 1; where both occur only pairs of different sides are given. An edit changes at most one word on
+    each side, so neither text can fill more cells that the other leaves empty than there are edits.
     """
-    bags, two = bags.astype(np.int32), len(np.unique(side)) > 1
-    total = bags.sum(axis=1)
-    for i in range(len(n) - 1):
-        longer = np.maximum(n[i + 1 :], n[i])
-        most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
-        ok = (groups[i + 1 :] != groups[i]) & (home[i + 1 :] | home[i]) & (np.abs(n[i + 1 :] - n[i]) <= most)
-        if two:
-            ok &= side[i + 1 :] != side[i]
-        j = np.flatnonzero(ok) + i + 1
-        if len(j):
-            apart = (np.abs(bags[j] - bags[i]).sum(axis=1) + np.abs(total[j] - total[i])) // 2
-            j = j[apart <= most[j - i - 1]]
-            if len(j):
-                yield i, j
+    near = np.triu(groups[:, None] != groups[None, :], 1) & (home[:, None] | home[None, :])
+    if len(np.unique(side)) > 1:
+        near &= side[:, None] != side[None, :]
+    most = ((1 - similarity) * np.maximum(n[:, None], n[None, :]) + 1e-9).astype(np.int64)
+    near &= np.abs(n[:, None] - n[None, :]) <= most
+    if not near.any():
+        return (np.zeros(0, dtype=np.int64),) * 3
+    cells = same_cells(bags)
+    full = cells.sum(axis=1)
+    apart = (np.maximum(full[:, None], full[None, :]) - cells @ cells.T + 0.5).astype(np.int64)
+    i, j = np.nonzero(near & (apart <= most))
+    return i, j, apart[i, j]
 
 
 def _possible(members: DataFrame, similarity: float) -> DataFrame:
-    """a, b (a < b): the pairs within a bucket that can be similar and aren't connected. members: band, s, c, home, key, n, r, bag.
+    """a, b (a < b), ra, rb, apart: the pairs within a bucket that can be similar and aren't connected, once a bucket. members: s, c, home, key, n, r, bag.
 
-    A bucket is dealt into blocks by hash and each two blocks meet in one row, so memory is that of two blocks.
+    Most members of a bucket are often connected already. These (the greatest group) only meet the others, which meet each
+    other too. The others are dealt into blocks by hash; two blocks or one and a lot of the greatest group meet in one row.
     """
-    by = ["band", "s", "c"]
-    size = members.groupBy(*by).agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
-    d = members.join(size, by).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    d = d.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    by = ["s", "c"]
+    group = members.groupBy(*by, "r").agg(F.count("*").alias("n"))
+    size = group.groupBy(*by).agg(F.sum("n").alias("all"), F.max(F.struct("n", "r")).alias("top"))
+    blocks = lambda n: F.ceil(n / _BLOCK).cast("int")
+    size = size.select(*by, blocks(F.col("all") - F.col("top.n")).alias("blocks"), blocks(F.col("top.n")).alias("lots"), F.col("top.r").alias("top"))
+    d = members.join(size, by).withColumn("big", F.col("r") == F.col("top"))
+    deal = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    d = d.withColumn("own", F.when(F.col("big"), F.col("blocks") + deal(F.col("lots"))).otherwise(deal(F.col("blocks"))))
+    # each row of a small block meets all small blocks and all lots, each row of a lot the small blocks
+    last = F.col("blocks") + F.when(F.col("big"), 0).otherwise(F.col("lots")) - 1
+    d = d.select("*", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     d = d.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("side", F.col("own") == F.col("j"))
     fields = ("key", "r", "n", "home", "side", "bag")
     d = d.groupBy(*by, "i", "j").agg(F.collect_list(F.struct(*fields)).alias("m")).select("m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
+            rows: list[tuple] = []
             for m in batch.column("m"):
                 v = m.values
                 if len(v) < 2:
                     continue
                 get = lambda c: v.field(v.type.get_field_index(c))  # noqa: B023, E731
-                keys = get("key").to_pylist()
-                number = {r: k for k, r in enumerate(sorted(set(get("r").to_pylist())))}
-                groups = np.array([number[r] for r in get("r").to_pylist()])
-                bags = np.frombuffer(b"".join(get("bag").to_pylist()), dtype="<u2").reshape(len(v), _CELLS)
-                flags = [get(c).to_numpy(zero_copy_only=False) for c in ("n", "home", "side")]
-                for i, js in possible_pairs(flags[0], bags, groups, flags[1], flags[2], similarity):
-                    for j in js:
-                        a.append(min(keys[i], keys[j]))
-                        b.append(max(keys[i], keys[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                keys, roots = get("key").to_pylist(), get("r").to_pylist()
+                number = {r: k for k, r in enumerate(sorted(set(roots)))}
+                groups = np.array([number[r] for r in roots])
+                n, home, side = (get(c).to_numpy(zero_copy_only=False) for c in ("n", "home", "side"))
+                for i, j, apart in zip(*possible_pairs(n, get("bag").to_pylist(), groups, home, side, similarity), strict=True):
+                    x, y = (i, j) if keys[i] < keys[j] else (j, i)
+                    rows.append((keys[x], keys[y], roots[x], roots[y], int(apart)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            types = [pa.binary()] * 4 + [pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["a", "b", "ra", "rb", "apart"])
 
-    return map_arrow(d, run, "a binary, b binary").distinct()
+    return map_arrow(d, run, "a binary, b binary, ra binary, rb binary, apart int")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts align; each pair's texts are in one row, so memory is that of two texts."""
+    """Those of the pairs (a, b) whose texts align; each pair's texts are in one row, so memory is that of two texts.
+
+    Many pairs may have one text in common, the head of a large group. They are dealt into lots and the text goes to each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -233,9 +302,16 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     t = texts.select("key", "text")
-    both = pairs.join(t.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    both = both.join(t.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    return map_arrow(both.select("a", "b", "ta", "tb"), run, "a binary, b binary")
+    for x, other, name in (("b", "a", "tb"), ("a", "b", "ta")):
+        hubs = pairs.groupBy(x).agg(F.ceil(F.count("*") / _LOT).cast("int").alias("lots")).where("lots > 1")
+        own = t.withColumnsRenamed({"key": x, "text": name}).join(hubs, x, "left")
+        own = own.withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1))).drop("lots")
+        if name == "tb":
+            met = pairs.select("a", "b")
+        met = met.join(hubs, x, "left").withColumn("lot", F.pmod(F.xxhash64(other), F.coalesce("lots", F.lit(1))).cast("int")).drop("lots")
+        # dealt by lot, as a broadcast of few pairs would leave them where their texts happen to lie
+        met = met.join(own.hint("merge") if name == "ta" else own, [x, "lot"]).drop("lot")
+    return map_arrow(met.select("a", "b", "ta", "tb"), run, "a binary, b binary")
 
 
 def components(links: DataFrame, known: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
@@ -260,87 +336,103 @@ def components(links: DataFrame, known: DataFrame | None = None, keep: Callable[
 
 
 def near_duplicate_classes(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8, sketches: int = 24, size: int = 2
+    docs: DataFrame,
+    *,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    similarity: float = 0.8,
+    functions: int = 6,
+    least: int = 5,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """key, id, n, root, class_id per distinct text: root is the key of its group, class_id the group's least id.
 
     key is the MD5 of the text; a null text is an empty one. Texts without words are near nothing but their own
     copies. Of equal ids the texts still count one by one, and a null id is never the least unless a group has no other.
+    Extra columns play no part, and an empty table gives no rows. Texts count whole; an alignment takes time in proportion to its edits
+    times its band, so two texts of a million words with a tenth of them changed take minutes in one task.
+    earlier (text, before): other texts that documents with this text once had, before lines were cut from them. A
+    text and what it was before are in one group.
     """
     d = _keyed(docs, text, doc_id)
+    same = None
+    if earlier is not None:
+        old = earlier.select(_key_of(F.col("text")).alias("a"), _key_of(F.col("before")).alias("b"), _text_of(F.col("before")).alias("t")).where("a <> b")
+        same = old.select("a", "b").distinct()
+        d = d.select("key", "id", "text", F.lit(True).alias("now")).unionByName(
+            old.select(F.col("b").alias("key"), F.lit(None).cast(d.schema["id"].dataType).alias("id"), F.col("t").alias("text"), F.lit(False).alias("now"))
+        )
     with Scratch(docs.sparkSession) as scratch:
-        out = stored(_grouped(d, similarity, sketches, size, scratch))
+        out = _grouped(d, similarity, functions, least, scratch, same)
+        if same is not None:
+            out = out.join(d.where("now").select("key").distinct(), "key", "left_semi")
+        out = stored(out)
     return out.join(out.groupBy("root").agg(F.min("id").alias("class_id")), "root").select("key", "id", "n", "root", "class_id")
 
 
-def _grouped(d: DataFrame, similarity: float, sketches: int, size: int, scratch: Scratch) -> DataFrame:
-    """key, id, n, root of each distinct text of d (key, id, text)."""
+def _grouped(d: DataFrame, similarity: float, functions: int, least: int, scratch: Scratch, same: DataFrame | None) -> DataFrame:
+    """key, id, n, root of each distinct text of d (key, id, text). same: links (a, b) that are known."""
     keep, narrow = scratch.keep, scratch.keep_narrow
-    classes = keep(_classes(d, sketches, size))
-    band = classes.where("n > 0").select("key", "n", "sketch", F.posexplode("sketch").alias("band", "s"))
-    after = lambda i: F.element_at("sketch", (F.col("band") + i) % sketches + 1)
-    band = band.select("key", "n", "band", "s", after(1).alias("s1"), after(2).alias("s2"))
-    least = (F.count("*").alias("c"), F.min(F.struct("key", "n")).alias("head"))
-    head = band.groupBy("band", "s").agg(*least).where("c > 1").drop("c")
-    met = keep(band.join(head, ["band", "s"]))
+    classes = keep(_classes(d.select("key", "id", "text"), functions, least))
+    band = classes.where("n > 0").select("key", "n", F.explode("sketch").alias("s"))
+    shared = band.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
+    # buckets by length: a text is in its own class (at home) and in the next, so that any two of near lengths meet
+    own = F.floor(F.log("n") / -math.log(max(similarity, 1e-9) * 0.999)).cast("int")
+    spots = F.explode(F.array(*[F.struct((own + k).alias("c"), F.lit(k == 0).alias("home")) for k in (0, 1)]))
+    met = keep(band.join(shared, "s")).select("key", "n", "s", spots.alias("x")).select("key", "n", "s", "x.*")
+
+    head = met.groupBy("s", "c").agg(F.count("*").alias("m"), F.max("home").alias("any"), F.min(F.struct("key", "n")).alias("head")).where("m > 1 and any")
+    pairs = met.join(head.select("s", "c", "head"), ["s", "c"]).where("key <> head.key")
+    pairs = pairs.where(F.least("n", "head.n") >= similarity * F.greatest("n", "head.n"))
+    tried = narrow(pairs.groupBy("key").agg(F.min("head.key").alias("a")).select("a", F.col("key").alias("b")))
     texts = d.select("key", "text").join(met.select("key").distinct(), "key", "left_semi")
     texts = keep(texts.groupBy("key").agg(F.min("text").alias("text")))
+    links = _linked(tried, texts, similarity)
+    roots = components(links if same is None else links.unionByName(same), keep=narrow)
 
-    def pairs(members: DataFrame) -> DataFrame:
-        """Pairs of head and member that can be similar at all: the shorter holds enough words."""
-        p = members.where("key <> head.key").select(F.col("head.key").alias("a"), F.col("key").alias("b"), "n", F.col("head.n").alias("na"))
-        return p.where(F.least("n", "na") >= similarity * F.greatest("n", "na")).select("a", "b").distinct()
-
-    def apart(p: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
+    def apart(p: DataFrame) -> DataFrame:
         """Pairs that are neither connected yet nor compared before."""
         for x in ("a", "b"):
-            p = p.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left")
-        p = p.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        return p.join(tried, ["a", "b"], "left_anti")
-
-    tried = narrow(pairs(met.groupBy("key").agg(F.min("n").alias("n"), F.min("head").alias("head"))))
-    roots = components(_linked(tried, texts, similarity), keep=narrow)
-    finer = lambda *by: met.drop("head").join(met.groupBy(*by).agg(*least).where("c > 1").drop("c"), list(by))
-    for members in (met, finer("band", "s", "s1"), finer("band", "s", "s1", "s2")):
-        more = narrow(apart(pairs(members), roots, tried))
-        if not more.isEmpty():
-            roots = components(_linked(more, texts, similarity), roots, narrow)
-            tried = tried.union(more)
-    # what is left: buckets by length, a text in its own class and the next, so that any two of near lengths meet
-    own = F.floor(F.log("n") / -math.log(max(similarity, 1e-9) * 0.999)).cast("int")
-    spots = F.explode(F.array(*[F.struct((own + k).alias("c"), F.lit(k == 0).alias("home")) for k in (0, 1)]))
-
-    def unsettled(roots: DataFrame) -> DataFrame:
-        """key, n, r, band, s, c, home of the members of buckets that hold more than one group."""
-        m = met.select("key", "n", "band", "s", spots.alias("x")).select("key", "n", "band", "s", "x.*")
-        m = m.join(roots.select(F.col("node").alias("key"), F.col("root").alias("r")), "key", "left").withColumn("r", F.coalesce("r", "key"))
-        mixed = m.groupBy("band", "s", "c").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.max("home").alias("any")).where("r1 <> r2 and any")
-        return keep(m.join(mixed.select("band", "s", "c"), ["band", "s", "c"]))
-
-    left = unsettled(roots)
+            p = p.drop(f"r{x}").join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
+        return p.where("ra <> rb").join(tried, ["a", "b"], "left_anti")
+
+    m = met.join(roots.select(F.col("node").alias("key"), F.col("root").alias("r")), "key", "left").withColumn("r", F.coalesce("r", "key"))
+    held = [F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)]  # tells buckets of other members apart
+    mixed = m.groupBy("s", "c").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.max("home").alias("any"), F.count("*").alias("m"), *held).where("r1 <> r2 and any")
+    mixed = mixed.groupBy("c", "m", "h0", "h1").agg(F.min("s").alias("s"))
+    left = keep(m.join(mixed.select("s", "c"), ["s", "c"]))
     if not left.isEmpty():
-        more = narrow(apart(pairs(left.join(left.groupBy("band", "s", "c").agg(*least), ["band", "s", "c"])), roots, tried))
-        if not more.isEmpty():
-            roots = components(_linked(more, texts, similarity), roots, narrow)
-            tried = tried.union(more)
-            left = unsettled(roots)
-        bags = left.join(classes.select("key", "bag"), "key")
-        more = keep(_possible(bags, similarity).join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
+        bags = _bags(texts.join(left.select("key").distinct(), "key", "left_semi"))
+        possible = _possible(left.join(bags, "key"), similarity).groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("ra", "rb", "apart")])
+        possible = keep(possible.join(tried, ["a", "b"], "left_anti"))
+        # of each two groups the nearest pair first, as it may make the others needless
+        first = possible.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min(F.struct("apart", "a", "b")).alias("p"))
+        for round_ in (lambda: first.select("p.a", "p.b"), lambda: apart(possible).select("a", "b")):
+            more = narrow(round_())
+            if more.isEmpty():
+                break
             roots = components(_linked(more, texts, similarity), roots, narrow)
+            tried = tried.unionByName(more)
     out = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     return out.select("key", "id", "n", "root")
 
 
+def _text_of(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
+
+
+def _key_of(text: Column) -> Column:
+    return F.unhex(F.md5(_text_of(text)))
+
+
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    t = F.coalesce(col(text).cast("string"), F.lit(""))
-    return docs.select(F.unhex(F.md5(t)).alias("key"), col(doc_id).alias("id"), t.alias("text"))
+    return docs.select(_key_of(col(text)).alias("key"), col(doc_id).alias("id"), _text_of(col(text)).alias("text"))
 
 
 def label_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """doc_id, class_id for every document: documents with one class_id are copies or near copies of each other."""
     classes = near_duplicate_classes(docs, text=text, doc_id=doc_id, **options)
-    d = _keyed(docs, text, doc_id).select("key", F.col("id").alias("doc_id"))
+    d = docs.select(_key_of(col(text)).alias("key"), col(doc_id).alias("doc_id"))
     return d.join(classes.select("key", "class_id"), "key").select("doc_id", "class_id")
 
 
@@ -349,8 +441,7 @@ def without_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str
     classes = near_duplicate_classes(docs, text=text, doc_id=doc_id, **options)
     first = F.min_by(F.struct("key", "id"), F.struct(F.col("id").isNull(), "id", "key")).alias("x")
     best = classes.groupBy("root").agg(first).select("x.*")
-    t = F.unhex(F.md5(F.coalesce(col(text).cast("string"), F.lit(""))))
-    d = docs.select(F.struct(*[col(c).alias(c) for c in docs.columns]).alias("row"), t.alias("key"), col(doc_id).alias("id"))
+    d = docs.select(F.struct(*[col(c).alias(c) for c in docs.columns]).alias("row"), _key_of(col(text)).alias("key"), col(doc_id).alias("id"))
     mine = d.join(best.select(F.col("key").alias("k"), F.col("id").alias("i")), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")))
     copies = mine.groupBy("key", "id").agg(F.first("row").alias("row"))
     return copies.select("row.*")
