@@ -31,7 +31,7 @@ _WORDS = 5
 _FEW_WORDS, _SHORT = 3, (20, 30)
 
 #: Words are told apart by hash in so many cells at most, and members of a bucket are compared in blocks of about so many.
-_CELLS, _BLOCK = 1 << 16, 256
+_CELLS, _BLOCK = 1 << 16, 1024
 
 #: Alignments walk along diagonals up to so many edits; up to so many words rows are then kept as bits.
 _FEW, _BITS = 24, 1 << 15
@@ -205,9 +205,15 @@ def word_bag(hashes: np.ndarray) -> np.ndarray:
 
 
 def same_cells(bags: list[bytes]) -> np.ndarray:
-    """The bags as rows of 0 and 1 with as many cells as the smallest has: the halves of a larger one are laid upon each other."""
-    cells = min(map(len, bags)) * 8
-    return np.array([np.unpackbits(np.frombuffer(x, dtype=np.uint8)).reshape(-1, cells).max(axis=0) for x in bags], dtype=np.float32)
+    """The bags as rows of bytes with as many cells as the smallest has: the halves of a larger one are laid upon each other."""
+    size = min(map(len, bags))
+    return np.array([np.bitwise_or.reduce(np.frombuffer(x, dtype=np.uint8).reshape(-1, size), axis=0) for x in bags])
+
+
+def common_cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many cells each row of a and each row of b have in common, some thousand cells at a time."""
+    bits = lambda x: np.unpackbits(x, axis=1).astype(np.float32)
+    return sum(bits(a[:, k : k + 512]) @ bits(b[:, k : k + 512]).T for k in range(0, a.shape[1], 512))
 
 
 def _bags(texts: DataFrame) -> DataFrame:
@@ -227,18 +233,21 @@ def possible_pairs(n: np.ndarray, bags: list[bytes], groups: np.ndarray, home: n
     side: 0 or 1; where both occur only pairs of different sides are given. An edit changes at most one word on
     each side, so neither text can fill more cells that the other leaves empty than there are edits.
     """
-    near = np.triu(groups[:, None] != groups[None, :], 1) & (home[:, None] | home[None, :])
-    if len(np.unique(side)) > 1:
-        near &= side[:, None] != side[None, :]
-    most = ((1 - similarity) * np.maximum(n[:, None], n[None, :]) + 1e-9).astype(np.int64)
-    near &= np.abs(n[:, None] - n[None, :]) <= most
+    two = len(np.unique(side)) > 1
+    x, y = (np.flatnonzero(side == np.min(side)), np.flatnonzero(side != np.min(side))) if two else (np.arange(len(n)),) * 2
+    near = groups[x, None] != groups[None, y]
+    near &= home[x, None] | home[None, y]
+    most = ((1 - similarity) * np.maximum(n[x, None], n[None, y]) + 1e-9).astype(np.int32)
+    near &= np.abs(n[x, None] - n[None, y]) <= most
+    if not two:
+        near = np.triu(near, 1)
     if not near.any():
         return (np.zeros(0, dtype=np.int64),) * 3
     cells = same_cells(bags)
-    full = cells.sum(axis=1)
-    apart = (np.maximum(full[:, None], full[None, :]) - cells @ cells.T + 0.5).astype(np.int64)
+    full = np.array([np.unpackbits(row).sum() for row in cells], dtype=np.float32)
+    apart = (np.maximum(full[x, None], full[None, y]) - common_cells(cells[x], cells[y]) + 0.5).astype(np.int32)
     i, j = np.nonzero(near & (apart <= most))
-    return i, j, apart[i, j]
+    return np.minimum(x[i], y[j]), np.maximum(x[i], y[j]), apart[i, j]
 
 
 def _possible(members: DataFrame, similarity: float) -> DataFrame:
@@ -285,7 +294,7 @@ def _possible(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts align; each pair's texts are in one row, so memory is that of two texts.
+    """Those of the pairs (a, b[, tb: b's text]) whose texts align; each pair's texts are in one row, so memory is that of two texts.
 
     Many pairs may have one text in common, the head of a large group. They are dealt into lots and the text goes to each.
     """
@@ -301,17 +310,16 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 ok.append(edit_distance(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)) is not None)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    t = texts.select("key", "text")
-    for x, other, name in (("b", "a", "tb"), ("a", "b", "ta")):
+    def with_text(p: DataFrame, x: str, other: str) -> DataFrame:
         hubs = pairs.groupBy(x).agg(F.ceil(F.count("*") / _LOT).cast("int").alias("lots")).where("lots > 1")
-        own = t.withColumnsRenamed({"key": x, "text": name}).join(hubs, x, "left")
+        own = texts.select(F.col("key").alias(x), F.col("text").alias(f"t{x}")).join(hubs, x, "left")
         own = own.withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1))).drop("lots")
-        if name == "tb":
-            met = pairs.select("a", "b")
-        met = met.join(hubs, x, "left").withColumn("lot", F.pmod(F.xxhash64(other), F.coalesce("lots", F.lit(1))).cast("int")).drop("lots")
-        # dealt by lot, as a broadcast of few pairs would leave them where their texts happen to lie
-        met = met.join(own.hint("merge") if name == "ta" else own, [x, "lot"]).drop("lot")
-    return map_arrow(met.select("a", "b", "ta", "tb"), run, "a binary, b binary")
+        p = p.join(hubs, x, "left").withColumn("lot", F.pmod(F.xxhash64(other), F.coalesce("lots", F.lit(1))).cast("int")).drop("lots")
+        # the last join deals by lot, as a broadcast of few pairs would leave them where their texts happen to lie
+        return p.join(own.hint("merge") if x == "a" else own, [x, "lot"]).drop("lot")
+
+    met = pairs if "tb" in pairs.columns else with_text(pairs.select("a", "b"), "b", "a")
+    return map_arrow(with_text(met, "a", "b").select("a", "b", "ta", "tb"), run, "a binary, b binary")
 
 
 def components(links: DataFrame, known: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
@@ -385,9 +393,11 @@ def _grouped(d: DataFrame, similarity: float, functions: int, least: int, scratc
     pairs = met.join(head.select("s", "c", "head"), ["s", "c"]).where("key <> head.key")
     pairs = pairs.where(F.least("n", "head.n") >= similarity * F.greatest("n", "head.n"))
     tried = narrow(pairs.groupBy("key").agg(F.min("head.key").alias("a")).select("a", F.col("key").alias("b")))
-    texts = d.select("key", "text").join(met.select("key").distinct(), "key", "left_semi")
-    texts = keep(texts.groupBy("key").agg(F.min("text").alias("text")))
-    links = _linked(tried, texts, similarity)
+    # a table, whose size the planner knows before it shuffles any text
+    texts = d.select("key", "text").join(narrow(met.select("key").distinct()), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.min("text").alias("text")).join(tried.withColumnRenamed("b", "key"), "key", "left")
+    texts = keep(texts)
+    links = _linked(texts.where("a is not null").select("a", F.col("key").alias("b"), F.col("text").alias("tb")), texts, similarity)
     roots = components(links if same is None else links.unionByName(same), keep=narrow)
 
     def apart(p: DataFrame) -> DataFrame:
