@@ -27,6 +27,19 @@ PAGES = "page_id long, url string, html string"
         ("<article><p><b>open<p>next</article>", "open\n\nnext"),
         ("<article><p>a<b>b</b>c <i>d</i></p><p hidden>no</p><p> &nbsp; </p></article>", "abc d"),
         ("<article><table><tr><td>1</td><td>2</td></tr><tr><th>3</th></tr></table></article>", "1 2\n\n3"),
+        ("<main><p>Body text</p></main><article class=\"comment\"><p>Reader says hi</p></article>", "Body text"),
+        ("<article><p>a</p></article><article class=\"comment\"><p>c</p></article><article><p>b</p></article>", "a\n\nb"),
+        ("<article><h2 id=\"related-work\">Related work</h2><section id=\"search-methods\"><p>s</p></section></article>", "Related work\n\ns"),
+        ("<article><p>one <a href=\"x\"\">two</a> three</p><p title=\"q\">four</p></article>", "one two three\n\nfour"),
+        ("<article><p>a <button>b</p><p>rest</p></article>", "a\n\nrest"),
+        ("<article><p>a <button>b</button> c <video><p>no</p></video> d</p></article>", "a c d"),
+        ("<article><p>x <math><mi>y</mi></math> z</p></article>", "x y z"),
+        ("<main><header><h1>T</h1><div>by me</div></header><p>a</p></main>", "T\n\na"),
+        ("<main><p>a b c d e f g h i j k</p><article class=teaser><p>t</p></article></main>", "a b c d e f g h i j k\n\nt"),
+        ("<article><div class='article-header'><h1>T</h1><span>by</span></div><p>a <span hidden>no</span>b</p></article>", "T\n\na b"),
+        ("<article><p title=\"open>a</p><p>b</p></article>", "a\n\nb"),
+        ("<article><div class=alert-systems>kept</div><p class='notice'>n</p><ul class='share-buttons'><li>s</ul></article>", "kept"),
+        ("<article><select><option>x</select><p>a</p><p>b</article>", "a\n\nb"),
         ("<ARTICLE CLASS=post><P>Up</P></ARTICLE>", "Up"),
         ("<article><p>a < b and c</p></article>", "a < b and c"),
         ("<article><p>x</p><style>p{}", "x"),
@@ -35,7 +48,7 @@ PAGES = "page_id long, url string, html string"
     ],
 )
 def test_page_blocks(page, text):
-    assert "\n\n".join(html_text.page_blocks(page)[1]) == text
+    assert "\n\n".join(html_text.article_of(html_text.page_blocks(page), set(), 6)) == text
 
 
 def test_undecided_pages_lose_what_their_host_repeats(spark):
@@ -50,6 +63,41 @@ def test_undecided_pages_lose_what_their_host_repeats(spark):
     assert got == Counter(want)
 
 
+def brute_main_text(pages, long=6):
+    """Compares every run of tokens of a page with every run of every other page of its host."""
+    import re
+
+    blocks = {h: html_text.page_blocks(h) for _, _, h in pages}
+    host = lambda u: re.sub(r"^\w+://|/.*", "", u)
+    border = lambda texts: [None, *(x for t in texts for x in [*t.split(" "), None])]
+    grams = lambda h: [tuple(g[i : i + long]) for g in [border(html_text.stream_of(blocks[h]))] for i in range(len(g) - long + 1)]
+    out = Counter()
+    for i, u, h in pages:
+        others = {g for _, v, x in pages if host(v) == host(u) and x != h for g in grams(x)}
+        own = grams(h) if html_text.stream_of(blocks[h]) else []
+        out[i, "\n\n".join(html_text.article_of(blocks[h], {k for k, g in enumerate(own) if g in others}, long))] += 1
+    return out
+
+
+def test_repeated_runs_of_a_host(spark):
+    """Also inside articles, where only text outside paragraphs is open to removal, and the unique words choose the root."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda k=1: " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(k))
+    shared = [word(9) for _ in range(6)]
+    pages = []
+    for i in range(60):
+        inner = "".join(rng.choice((f"<p>{rng.choice(shared)}</p>", f"<div>{rng.choice(shared)}</div>", f"<div>{word(3)} {rng.choice(shared)[:14]}</div>", f"<p>{word(8)}</p>", f"<div>{word(20)}</div>")) for _ in range(5))
+        outer = rng.choice(("<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<main><article><p>one</p></article>{}</main>"))
+        pages.append((i, f"http://{rng.choice('ab')}.example/{i}", f"<nav>{rng.choice(shared)}</nav>{outer.format(inner)}<div>{rng.choice(shared)}</div>"))
+    got = html_text.main_text(spark.createDataFrame(pages, PAGES)).collect()
+    want = brute_main_text(pages)
+    assert Counter((r.page_id, r.text) for r in got) == want
+    plain = Counter((i, "\n\n".join(html_text.article_of(html_text.page_blocks(h), set(), 6))) for i, _, h in pages)
+    assert sum((plain - want).values()) > 20
+
+
 def test_main_text_of_all_pages(spark, small):
     """Against the template of the test pages: what stands in article, block by block."""
     import html
@@ -84,6 +132,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_pages(df.where("false"), f"file://{tmp_path}/none").count() == 0
 
 
+def test_a_large_payload_has_a_file_of_its_own(spark, tmp_path):
+    import gzip
+    import re
+
+    big, twin = "b" * (1 << 20) + "é", "t" * 2000
+    pages = [(i, f"http://a/{i}", f"small page {i}") for i in range(50)] + [(50, "u", big), (51, "u", big), (52, "http://t/1", twin), (53, "http://t/2", twin), (None, None, twin)]
+    at = f"file://{tmp_path}/warc"
+    got = warc.archive_pages(spark.createDataFrame(pages, PAGES).coalesce(1), at).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter((i, *(("revisit", {50: 51, 52: 53, None: 53}[i]) if i in (50, 52, None) else ("response", None))) for i, *_ in pages)
+    texts = [gzip.decompress(f.read_bytes()).decode() for f in sorted((tmp_path / "warc").glob("part-*"))]
+    assert sorted(t.count("WARC-Record-ID") for t in texts) == [1, 1, 53]
+    ids = re.findall("WARC-Record-ID: (.*)\r", "".join(texts))
+    assert len(set(ids)) == len(pages)
+    refers = re.findall("WARC-Refers-To: (.*)\r\nWARC-Refers-To-Target-URI: (.*)\r", "".join(texts))
+    assert len(refers) == 3 and all(r in ids for r, _ in refers) and {u for _, u in refers} == {"u", "http://t/2"}
+    assert warc.records_per_file(10, 1000, 100) > 1000 and warc.records_per_file(0, None, None) == 1
+
+
 def test_warc_damage_is_noticed(spark, tmp_path):
     at = f"file://{tmp_path}/warc"
     df = spark.createDataFrame([(1, "http://a/", "payload of the page")], PAGES)

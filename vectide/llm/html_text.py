@@ -1,14 +1,15 @@
-"""Main text of web pages: structure first, then a suffix array over each host's pages.
+"""Main text of web pages: a suffix array over each host's pages, guarded by markup.
 
-A page's markup usually says where the article is (``article``, ``main`` and the like) and what isn't part of it
-(menus, headers, footers, asides, forms, scripts, and classes such as ``ad`` or ``comments``). Such pages are decided by
-their markup. Repetition alone would be wrong there: menus differ from page to page, and articles quote each other.
-
-The blocks of a page without such a root are undecided. Their words and block borders are a token stream; the
-suffixes of all undecided streams of a host are brought together by their first ``long`` tokens, which is the order
-of a suffix array as deep as it matters. A run of ``long`` or more tokens that distinct pages of the host share is
-boilerplate: what these runs cover is removed and the unique runs stay. Suffixes are counted before the
+A page is parsed into blocks. Blocks of running text (paragraphs, headings, list items, tables and the like) inside a part that the
+page declares as its article are guarded: articles of a host share passages, and these stay. Everything else on the page, menus and
+adverts included, is its token stream. The suffixes of all streams of a host are brought together by
+their first ``long`` tokens, which is the order of a suffix array as deep as it matters. A run of ``long`` or more tokens that distinct pages of the host
+share is boilerplate: what these runs cover is removed and the unique runs stay. Suffixes are counted before the
 shuffle, so a host or a footer with a third of all pages makes no task large.
+
+Menus that differ on each page repeat nowhere, so markup has a second say: blocks in elements that aren't part of an article (``nav``,
+``footer``, classes such as ``ad`` or ``comments``) never are text. The words that are left decide which part is the page's root: its articles,
+another declared part or all of it.
 """
 
 from __future__ import annotations
@@ -29,117 +30,166 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import col, map_arrow, shingles
 from .url_filter import host_of
 
+#: Tags as HTML reads them: a quote opens a value only behind an equals sign, and a value without its end quote ends like one without any.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
+    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+|=)*+)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 #: Names of layouts that mention a part without being it, such as has-sidebar.
 _MENTION = re.compile(r"(?:has|with|no|without|is|js|not)[_-]")
 
 #: Names of HTML elements and common class names.
-_RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select button datalist head".split())
+_RAW = frozenset("script style textarea title iframe".split())
 _SKIP = frozenset("nav footer aside form dialog menu fieldset search".split())
+_SKIP_INLINE = frozenset("noscript template svg object canvas audio video select button datalist".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
-_SPACING = frozenset("br td th wbr img".split()) - {"wbr"}
+_SPACING = frozenset("br td th img".split())
 _ITEMS = frozenset("li dd dt td th".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption caption".split())
+_INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark math q s samp small span strike strong sub sup time tt u var".split())
 _NOT_MAIN = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
     "popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead "
     "comment comments respond reply replies disqus share sharing social related recommended widget widgets pagination pager toolbar skip "
     "contentinfo complementary search".split()
 )
+_ANY = frozenset(
+    "area article articles bar block body bottom box btn button buttons card cards col column container content count entry feed form global group holder "
+    "icons inline inner item items large left link links list main module outer page panel post posts primary reader readers region right row secondary section "
+    "site slot small sticky stories story text thread to top unit user users view wrap wrapper zone".split()
+)
 _MAIN = frozenset("article post entry story articlebody main content".split())
 
-Block = tuple[int, str]
+#: Kinds of blocks: guarded running text of a declared part, other text, text that markup excludes.
+GUARDED, OPEN, OUT = 0, 1, 2
+Block = tuple[int, int, str]
+
+
+def _names(said: str) -> bool:
+    """Whether a class, id or role names a part that isn't main text: cookie-notice and ad-box do, related-work doesn't."""
+    pieces = [x for x in re.split(r"[_-]+", said) if x and not x.isdigit()]
+    return any(x in _NOT_MAIN for x in pieces) and all(x in _NOT_MAIN or x in _ANY for x in pieces)
+
 
+class _Element:
+    """An open element and what its content inherits; in_p: whether it stands in a paragraph; aside: in an element such as a button, which ends no block."""
 
-def page_blocks(page: str) -> tuple[int, list[str]]:
-    """(level, blocks): 2 if an article holds the blocks, 1 if another declared root does, 0 if the page declares none."""
-    stack: list[tuple[str, bool, int, bool]] = []  # element, skipped, level, inside an article's header
-    out: list[Block] = []
+    __slots__ = ("aside", "header", "in_p", "level", "name", "out", "running")
+
+    def __init__(self, name: str, out: bool, level: int, header: bool, running: bool, in_p: bool, aside: bool):
+        self.name, self.out, self.level, self.header, self.running, self.in_p, self.aside = name, out, level, header, running, in_p, aside
+
+
+def page_blocks(page: str) -> list[Block]:
+    """(level, kind, text) of each block: level 2 inside an article, 1 inside another declared part, 0 elsewhere."""
+    top = _Element("", False, 0, False, False, False, False)
+    stack: list[_Element] = []
+    blocks: list[Block] = []
     parts: list[str] = []
-    skipped, level, in_header, heading, best, at, n = False, 0, False, 0, 0, 0, len(page)
+    gone: list[str] = []
+    here, heading, in_p, at, n = top, 0, False, 0, len(page)
 
     def flush() -> None:
-        if parts:
-            if text := " ".join(unescape("".join(parts)).split()):
-                out.append((level, text))
-            parts.clear()
-
-    def take(upto: int) -> None:
-        if upto > at and not skipped and (not in_header or heading):
-            parts.append(page[at:upto])
+        for own, out in ((parts, here.header and not heading), (gone, True)):  # what a header holds beside its headings is no text
+            if own:
+                if text := " ".join(unescape("".join(own)).split()):
+                    guarded = here.level and (here.running or in_p or heading)
+                    blocks.append((here.level, OUT if out else GUARDED if guarded else OPEN, text))
+                own.clear()
 
     while m := _TOKEN.search(page, at):
-        take(m.start())
+        if m.start() > at:
+            (gone if here.out else parts).append(page[at : m.start()])
         at, name = m.end(), (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
-            if name in _HEADING:
+            to = len(stack)
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].name == name:
+                    to = k
+                    break
+                if name in _INLINE and stack[k].name in _BLOCK:  # misplaced: it can't close what is around a block
+                    break
+            if here.aside and (to < len(stack) and not stack[to].aside or name == "p" and not in_p and here.in_p):
+                while stack and stack[-1].aside:  # it has no end tag
+                    in_p = stack.pop().in_p
+                here = stack[-1] if stack else top
+                to = min(to, len(stack))
+            if name in _BLOCK and not here.aside:
                 flush()
+            if name in _HEADING:
                 heading = max(0, heading - 1)
-            elif name in _BLOCK:
-                flush()
-            if any(s[0] == name for s in stack):
-                while stack:
-                    top, *_ = stack.pop()
-                    if top == name:
-                        break
-                _, skipped, level, in_header = stack[-1] if stack else ("", False, 0, False)
+            if name == "p":
+                in_p = False
+            if to < len(stack):
+                if name in _SKIP_INLINE:
+                    in_p = stack[to].in_p
+                del stack[to:]
+                here = stack[-1] if stack else top
             continue
-        if name in _RAW:
+        if name in _RAW or name == "head":
             if not m[0].endswith("/>"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = end.end() if end else n if name != "head" else at
             continue
         if name in _BLOCK:
-            flush()
-        if stack and (stack[-1][0] == "p" and name in _BLOCK or name in _ITEMS and stack[-1][0] in _ITEMS):  # no end tag
+            if not here.aside:
+                flush()
+            in_p = name == "p"
+        if stack and (stack[-1].name == "p" and name in _BLOCK or name in _ITEMS and stack[-1].name in _ITEMS):  # no end tag
             stack.pop()
-            _, skipped, level, in_header = stack[-1] if stack else ("", False, 0, False)
+            here = stack[-1] if stack else top
         if name in _SPACING:
-            parts.append(" ") if not skipped else None
+            (gone if here.out else parts).append(" ")
         if name in _HEADING:
             heading += 1
-        if name in _VOID or name in ("p", "li", "dt", "dd", "tr", "td", "th", "b", "i", "em", "strong", "a", "span", "u", "font") and "class" not in m[3].lower() and "id" not in m[3].lower():
+        if name in _VOID or (name in _INLINE or name == "p") and not m[3] or name in _SKIP_INLINE and m[0].endswith("/>"):
             continue
-        said, main, hidden = set(), level, False
-        for a in _ATTRIBUTE.finditer(m[3]) if m[3] else ():
-            key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+        out, level, header, said = name in _SKIP or name in _SKIP_INLINE or name == "header" and not here.level, here.level, here.header, set()
+        header = header or name == "header" and level > 0
+        for x in _ATTRIBUTE.finditer(m[3]) if m[3] else ():
+            key, value = x[1].lower(), (x[2] or x[3] or x[4] or "").lower()
             if key == "hidden" or key == "aria-hidden" and value == "true":
-                hidden = True
+                out = True
             elif key in ("class", "id", "role", "itemprop"):
-                for x in value.split():
-                    if not _MENTION.match(x):
-                        said.update(re.split(r"[_-]+", x))
-                        said.add(x)
-        own_header = name == "header" and level == 2 or in_header
-        drop = hidden or name in _SKIP or name == "header" and level < 2 or bool(said & _NOT_MAIN) and name not in ("body", "html", "article", "main")
-        if not drop and not skipped:
-            if name == "article":
-                main = 2
-            elif level < 1 and (name == "main" or said & _MAIN and name in ("div", "section")):
-                main = 1
-        stack.append((name, skipped or drop, main, own_header))
-        _, skipped, level, in_header = stack[-1]
-        best = max(best, level if not skipped else 0)
-    take(n)
+                said.update(t for t in value.split() if not _MENTION.match(t))
+        if name not in _HEADING and name not in _INLINE and name not in ("body", "html", "main"):
+            for t in filter(_names, said):
+                if level and {"header", "masthead"} & set(re.split(r"[_-]+", t)):
+                    header = True
+                else:
+                    out = True
+        if not out and name == "article":
+            level = 2
+        elif not out and level < 1 and (name == "main" or said & {"main", "articlebody"} or name in ("div", "section") and any(_MAIN & set(re.split(r"[_-]+", t)) for t in said)):
+            level = 1
+        stack.append(_Element(name, here.out or out, level, header, here.running or name in _RUNNING, in_p, here.aside or name in _SKIP_INLINE))
+        here = stack[-1]
+        if name in _SKIP_INLINE:
+            in_p = False
+    if at < n:
+        (gone if here.out else parts).append(page[at:])
     flush()
-    return best, [t for at_level, t in out if at_level == best]
+    return blocks
+
 
+def stream_of(blocks: list[Block]) -> list[str]:
+    """The texts of the page's token stream: all that isn't guarded."""
+    return [text for _, kind, text in blocks if kind != GUARDED]
 
-def _stream(blocks: list[str]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Token hashes of all blocks, a border before and after each block; and each token's (block, word), word -1 for a border."""
+
+def _stream(texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Token hashes of all texts, a border before and after each; and each token's (text, word), word -1 for a border."""
     tokens, places = [1], [(0, -1)]
-    for b, text in enumerate(blocks):
+    for b, text in enumerate(texts):
         for w, word in enumerate(text.split(" ")):
             tokens.append(xxhash.xxh3_64_intdigest(word))
             places.append((b, w))
@@ -148,24 +198,43 @@ def _stream(blocks: list[str]) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return np.array(tokens, dtype=np.uint64), places
 
 
-def unique_runs(blocks: list[str], repeated: set[int] | frozenset[int], long: int) -> list[str]:
-    """The blocks without what runs of ``long`` tokens at the repeated starts cover; all of them if nothing would be left.
+def unique_runs(texts: list[str], repeated: set[int] | frozenset[int], long: int) -> list[str]:
+    """The texts without what runs of ``long`` tokens at the repeated starts cover; empty where nothing is left.
 
     Of a block's words a covered run goes if it is all of the block or ``long`` words: a run that starts in a neighbouring
     block may end a few words into this one by chance.
     """
-    _, places = _stream(blocks)
+    if not repeated:
+        return texts
+    _, places = _stream(texts)
     covered = {places[p] for start in repeated for p in range(start, min(len(places), start + long))}
     out = []
-    for b, text in enumerate(blocks):
+    for b, text in enumerate(texts):
         kept: list[str] = []
         for hit, run in groupby(enumerate(text.split(" ")), key=lambda x: (b, x[0]) in covered):
             own = [word for _, word in run]
             if not hit or len(own) < min(long, text.count(" ") + 1):
                 kept += own
-        if kept:
-            out.append(" ".join(kept))
-    return out or blocks
+        out.append(" ".join(kept))
+    return out
+
+
+def article_of(blocks: list[Block], repeated: set[int] | frozenset[int], long: int) -> list[str]:
+    """The page's main text, block by block, once its repeated runs are known.
+
+    The articles are its root unless another declared part holds over three times their words, and declared parts unless the page holds over
+    ten times theirs. A page of which nothing is left keeps what markup doesn't exclude.
+    """
+
+    def rooted(left: list[str]) -> list[str]:
+        kept = [(level, text) for (level, kind, _), text in zip(blocks, left, strict=True) if kind != OUT and text]
+        words = [sum(text.count(" ") + 1 for level, text in kept if level >= least) for least in (0, 1, 2)]
+        root = 1 if words[1] * 10 >= words[0] and words[1] else 0
+        root = 2 if root and words[2] * 3 >= words[1] and words[2] else root
+        return [text for level, text in kept if level >= root]
+
+    own = iter(unique_runs(stream_of(blocks), repeated, long))
+    return rooted([text if kind == GUARDED else next(own) for _, kind, text in blocks]) or rooted([text for *_, text in blocks])
 
 
 def _mapped(src: DataFrame, schema: T.StructType, row: Callable[[dict], list[tuple]]) -> DataFrame:
@@ -183,33 +252,32 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
     """page_id, url, text, n_chars for each page. text joins the blocks by an empty line; it is empty for null or empty html.
 
     Pages with the same html are one page for what is repeated, so a copy removes nothing. Rows are never merged: a row
-    that occurs twice gives two rows. Pages without a URL form a host of their own.
+    that occurs twice gives two rows. Pages without a URL form a host of their own. Html counts whole, however long, and is parsed in one pass;
+    an empty table gives no rows, and other columns play no part, whatever their names.
     """
     src = pages.select(col(page_id).alias("page_id"), col(url).cast("string").alias("url"), F.coalesce(col(html).cast("string"), F.lit("")).alias("html"))
-    head = [src.schema["page_id"], src.schema["url"]]
-
-    def decided(r: dict) -> list[tuple]:
-        level, blocks = page_blocks(r["html"])
-        return [(r["page_id"], r["url"], "\n\n".join(blocks))] if level or not blocks else []
+    src = src.withColumns({"host": F.xxhash64(F.coalesce(host_of(F.col("url")), F.lit(""))), "key": F.unhex(F.md5("html"))})
 
-    def undecided(r: dict) -> list[tuple]:
-        level, blocks = page_blocks(r["html"])
-        return [(r["page_id"], r["url"], r["host"], r["key"], blocks)] if blocks and not level else []
+    def streams(r: dict) -> list[tuple]:
+        texts = stream_of(page_blocks(r["html"]))
+        return [(r["host"], r["key"], texts)] if texts else []
 
     def suffixes(r: dict) -> list[tuple]:
-        return [(r["host"], r["key"], i, h) for i, h in enumerate(shingles(_stream(r["blocks"])[0], long).view(np.int64).tolist())]
+        found = shingles(_stream(r["texts"])[0], long).view(np.int64)
+        first = np.unique(found, return_index=True)[1]  # a run that a page repeats itself is brought once
+        return [(r["host"], r["key"], int(found[i])) for i in first]
 
-    def cleaned(r: dict) -> list[tuple]:
-        return [(r["page_id"], r["url"], "\n\n".join(unique_runs(r["blocks"], set(r["starts"] or ()), long)))]
+    def marked(r: dict) -> list[tuple]:
+        blocks, runs = page_blocks(r["html"]), set(r["runs"] or ())
+        found = shingles(_stream(stream_of(blocks))[0], long).view(np.int64).tolist() if runs else []
+        repeated = {i for i, h in enumerate(found) if h in runs}
+        return [(r["page_id"], r["url"], "\n\n".join(article_of(blocks, repeated, long)))]
 
-    done = T.StructType([*head, T.StructField("text", T.StringType())])
-    clear = _mapped(src, done, decided)
-    keyed = src.withColumns({"host": F.coalesce(host_of(F.col("url")), F.lit("")), "key": F.unhex(F.md5("html"))})
-    open_ = _mapped(keyed, T.StructType([*head, *T._parse_datatype_string("host string, key binary, blocks array<string>").fields]), undecided)
-    one = open_.groupBy("host", "key").agg(F.first("blocks").alias("blocks"))
-    suffix = _mapped(one.select("host", "key", "blocks"), T._parse_datatype_string("host string, key binary, start int, h bigint"), suffixes)
+    page = _mapped(src.select("host", "key", "html"), T._parse_datatype_string("host bigint, key binary, texts array<string>"), streams)
+    one = page.groupBy("host", "key").agg(F.first("texts").alias("texts"))
+    suffix = _mapped(one, T._parse_datatype_string("host bigint, key binary, h bigint"), suffixes)
     shared = suffix.groupBy("host", "h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("host", "h")
-    starts = suffix.join(shared, ["host", "h"]).groupBy("host", "key").agg(F.collect_set("start").alias("starts"))
-    told = open_.join(starts, ["host", "key"], "left").select("page_id", "url", "blocks", "starts")
-    out = clear.unionByName(_mapped(told, done, cleaned))
+    runs = suffix.join(shared, ["host", "h"]).groupBy("host", "key").agg(F.collect_list("h").alias("runs"))
+    told = src.join(runs, ["host", "key"], "left").select("page_id", "url", "html", "runs")
+    out = _mapped(told, T.StructType([src.schema["page_id"], src.schema["url"], T.StructField("text", T.StringType())]), marked)
     return out.withColumn("n_chars", F.length("text").cast("long"))
