@@ -4,7 +4,7 @@ Headers (page id, payload length and SHA-1) are shuffled by digest, with a parti
 captures with one payload of at least ``least`` bytes, that with the largest id stays a response. Each capture is then
 joined to its original. Archives are written by Spark's own text writer, whose line separator is the end of a WARC
 record, so they go to any store that Spark reaches, a lost task leaves nothing behind, and every header is made anew. A
-file's records are limited so that a task can read it whole.
+file's records are limited so that a task can read it whole; a record with a large payload gets a file of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import col, map_arrow, shared_dir, stored
@@ -24,11 +24,18 @@ _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def resolve_revisits(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 1000) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, refers_to (null for a response).
+#: Records with a larger payload than this go to files of their own.
+_LARGE = 1 << 20
 
-    A null payload is an empty one. A capture without an id refers to the largest id of its payload, if there is one.
-    Rows that repeat the largest id and its payload are all responses, as each is as much the original.
+
+def resolve_revisits(
+    pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 1000, sizes: Observation | None = None
+) -> DataFrame:
+    """page_id, url, payload, payload_bytes, payload_digest, refers_to and refers_to_url (null for a response), original (others refer to it).
+
+    A null payload is an empty one, and payloads count whole. A capture without an id refers to the largest id of its payload, if there is one.
+    Rows that repeat the largest id and its payload are all responses, as each is as much the original. An empty table gives no
+    rows; other columns play no part, whatever their names. sizes observes n, bytes and largest of the payloads up to 1 MB.
     """
     payload = F.coalesce(col(html).cast("string"), F.lit("")).cast("binary")
     p = pages.select(
@@ -38,26 +45,48 @@ def resolve_revisits(pages: DataFrame, *, page_id: str = "page_id", url: str = "
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha1(payload).alias("payload_digest"),
     )
-    heads = p.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes")
-    originals = heads.agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null")
-    originals = stored(originals.drop("n"))  # the planner sees its true size, and broadcasts it only below Spark's bound
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))
+    heads = p.drop("payload")
+    if sizes is not None:
+        n = F.when(F.col("payload_bytes") <= _LARGE, F.col("payload_bytes"))
+        heads = heads.observe(sizes, F.count(n).alias("n"), F.sum(n).alias("bytes"), F.max(n).alias("largest"))
+    heads = heads.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes")
+    first = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    originals = heads.agg(first.alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    originals = originals.select("payload_digest", "payload_bytes", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    originals = stored(originals)  # the planner sees its true size, and broadcasts it only below Spark's bound
+    revisit = ~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull()
     return p.join(originals, ["payload_digest", "payload_bytes"], "left").select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to")
+        "page_id",
+        "url",
+        "payload",
+        "payload_bytes",
+        "payload_digest",
+        F.when(revisit, F.col("first_id")).alias("refers_to"),
+        F.when(revisit, F.col("first_url")).alias("refers_to_url"),
+        (~revisit & F.col("first_id").isNotNull()).alias("original"),
     )
 
 
-def _record_id(page_id: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("none"))))
+def _record_id(page_id: Column, digest: Column) -> Column:
+    """The id of an original, which its revisits can tell."""
+    h = F.md5(F.concat(page_id.cast("string"), F.lit(":"), digest))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+    return F.concat_ws("-", *parts)
+
+
+def _uri(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("urn:unknown")), r"[\x00-\x1F\x7F]+", "%0A"), " ", "%20")
 
 
-def write_archives(resolved: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z", file_records: int = 2000, compression: str = "gzip") -> None:
-    """Writes one WARC 1.1 record per row of resolve_revisits(). Control characters and spaces in a URL are percent-encoded."""
+def write_archives(
+    resolved: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z", file_records: int = 2000, compression: str = "gzip", mode: str = "overwrite"
+) -> None:
+    """Writes one WARC 1.1 record per row of resolve_revisits(). Control characters and spaces in a URL are percent-encoded.
+
+    Record ids are new at each run, but for an original's, which follows from its page id and payload, as its revisits refer to it.
+    """
     c, eol = F.col, "\r\n"
     revisit = c("refers_to").isNotNull()
-    uri = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("urn:unknown")), r"[\x00-\x1F\x7F]+", "%0A"), " ", "%20")
     body = F.when(revisit, F.lit("").cast("binary")).otherwise(c("payload"))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{eol}Content-Type: text/html; charset=utf-8{eol}Content-Length: "),
@@ -67,18 +96,20 @@ def write_archives(resolved: DataFrame, path: str, *, date: str = "2024-01-01T00
     head = F.concat(
         F.lit(f"WARC/1.1{eol}WARC-Type: "),
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
-        F.lit(f"{eol}WARC-Record-ID: "),
-        _record_id(c("page_id")),
-        F.lit(f"{eol}WARC-Date: {date}{eol}WARC-Target-URI: "),
-        uri,
+        F.lit(f"{eol}WARC-Record-ID: <urn:uuid:"),
+        F.when(c("original"), _record_id(c("page_id"), c("payload_digest"))).otherwise(F.uuid()),
+        F.lit(f">{eol}WARC-Date: {date}{eol}WARC-Target-URI: "),
+        _uri(c("url")),
         F.lit(f"{eol}WARC-Payload-Digest: sha1:"),
         c("payload_digest"),
         F.when(
             revisit,
             F.concat(
-                F.lit(f"{eol}WARC-Profile: {_PROFILE}{eol}WARC-Refers-To: "),
-                _record_id(c("refers_to")),
-                F.lit(f"{eol}X-Refers-To-Page: "),
+                F.lit(f"{eol}WARC-Profile: {_PROFILE}{eol}WARC-Refers-To: <urn:uuid:"),
+                _record_id(c("refers_to"), c("payload_digest")),
+                F.lit(f">{eol}WARC-Refers-To-Target-URI: "),
+                _uri(c("refers_to_url")),
+                F.lit(f"{eol}WARC-Refers-To-Date: {date}{eol}X-Refers-To-Page: "),
                 c("refers_to").cast("string"),
             ),
         ).otherwise(F.lit("")),
@@ -91,7 +122,7 @@ def write_archives(resolved: DataFrame, path: str, *, date: str = "2024-01-01T00
         http,
     )
     record = F.concat(head.cast("binary"), body).cast("string").alias("value")
-    resolved.select(record).write.option("lineSep", _END).option("maxRecordsPerFile", file_records).option("compression", compression).mode("overwrite").text(path)
+    resolved.select(record).write.option("lineSep", _END).option("maxRecordsPerFile", file_records).option("compression", compression).mode(mode).text(path)
 
 
 def _records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -145,16 +176,23 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = False)
     return map_arrow(files, run, schema)
 
 
-def records_per_file(resolved: DataFrame, *, usual_bytes: int = 64 << 20, most_bytes: int = 1 << 30) -> int:
+def records_per_file(n: int | None, size: int | None, largest: int | None, *, usual_bytes: int = 64 << 20, most_bytes: int = 512 << 20) -> int:
     """Records that make a file of about usual_bytes, and of at most most_bytes even if each were the largest."""
-    n = F.col("payload_bytes") + 1000
-    got = resolved.agg(F.avg(n).alias("mean"), F.max(n).alias("largest")).first()
-    return max(1, int(min(usual_bytes / got.mean, most_bytes / got.largest))) if got.largest else 1
+    return max(1, int(min(usual_bytes / ((size or 0) / n + 1000), most_bytes / (largest + 1000)))) if n else 1
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
-    """Writes the pages' archives into path (a new shared folder by default) and reads them back."""
+    """Writes the pages' archives into path (a new shared folder by default) and reads them back.
+
+    Payloads over 1 MB are written one to a file, so that they don't make the other files small, nor any file too large to be read in one task.
+    """
     path = path or f"{shared_dir(pages.sparkSession)}/warc"
-    resolved = resolve_revisits(pages, **columns)
-    write_archives(resolved, path, file_records=records_per_file(resolved))
+    sizes = Observation()
+    resolved = resolve_revisits(pages, sizes=sizes, **columns)
+    seen = sizes.get
+    small = F.col("payload_bytes") <= _LARGE
+    write_archives(resolved.where(small), path, file_records=records_per_file(seen["n"], seen["bytes"], seen["largest"]))
+    large = pages.where(F.octet_length(F.coalesce(col(columns.get("html", "html")).cast("string"), F.lit(""))) > _LARGE)
+    if not large.isEmpty():
+        write_archives(resolved.where(~small), path, file_records=1, mode="append")
     return read_archives(pages.sparkSession, path)
