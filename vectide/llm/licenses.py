@@ -5,12 +5,13 @@ document is cut into windows of 2S shingles, one every S, so a template's place
 window that holds a share of at least ``contained`` of a template's shingles has a Jaccard similarity of at least j with it,
 j following from T and S alone; a tier has as many bands of one row as make 1 - (1 - j)^bands at least
 ``probability``. For a template of one shingle, windows of one shingle and one band make the collision certain. What
-a band retrieves is then compared shingle by shingle, as words.
+a band retrieves is then compared shingle by shingle, as words: runs of a template's shingles in its own order are its copies.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -29,6 +30,15 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
         "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
         "notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0",
@@ -57,6 +67,21 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
         "conditions and the following disclaimer.",
     ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY "
+        'THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+        "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+        "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+        "POSSIBILITY OF SUCH DAMAGE.",
+    ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -82,7 +107,7 @@ def bands_needed(low: float, probability: float) -> int:
 
 class _Index:
     def __init__(self, templates: dict[str, tuple[str, ...]], contained: float, probability: float):
-        self.items: list[tuple[str, int, frozenset[bytes]]] = []
+        self.items: list[tuple[str, int, dict[bytes, list[int]]]] = []  # license, number, places of each shingle
         tiers: dict[int, list[int]] = defaultdict(list)
         hashed = []
         for name in sorted(templates):
@@ -90,9 +115,11 @@ class _Index:
                 w = words(text)
                 if len(w) < _WORDS:
                     raise ValueError(f"{name}: a template needs {_WORDS} words or more")
-                own = frozenset(b" ".join(w[i : i + _WORDS]) for i in range(len(w) - _WORDS + 1))
+                own = defaultdict(list)
+                for i in range(len(w) - _WORDS + 1):
+                    own[b" ".join(w[i : i + _WORDS])].append(i)
                 tiers[1 << (len(own) - 1).bit_length()].append(len(self.items))
-                self.items.append((name, k, own))
+                self.items.append((name, k, dict(own)))
                 hashed.append(np.unique(shingles(word_hashes(text), _WORDS)).astype(np.uint32))
         self.need = [math.ceil(contained * len(own) - 1e-9) for _, _, own in self.items]
         rng = np.random.default_rng(20240101)
@@ -139,6 +166,32 @@ class _Index:
         return found
 
 
+def copies_in(shingles_: list[bytes], own: dict[bytes, list[int]], need: int) -> list[tuple[int, int, int]]:
+    """(first, last shingle, distinct ones) of each copy of a template in a window that holds at least ``need`` of its shingles.
+
+    A copy's shingles stand in the template's order, with at most a fifth of it (or five words) inserted at one place. If no such run
+    holds enough, all of the window's are taken as one, as its parts may have changed places.
+    """
+    slack = max(_WORDS, len(own) // 5)
+    hits = [(p, own[x]) for p, x in enumerate(shingles_) if x in own]
+    runs: list[list[tuple[int, bytes]]] = []
+    last, place = 0, 0
+    for p, places in hits:
+        follow = [t for t in places if t > place and p - last <= t - place + slack] if runs else []
+        if follow:
+            runs[-1].append((p, shingles_[p]))
+            place = follow[0]
+        else:
+            runs.append([(p, shingles_[p])])
+            place = places[0]
+        last = p
+    found = [(r[0][0], r[-1][0], len({x for _, x in r})) for r in runs]
+    found = [f for f in found if f[2] >= need]
+    if not found and hits and (n := len({shingles_[p] for p, _ in hits})) >= need:
+        found = [(hits[0][0], hits[-1][0], n)]
+    return found
+
+
 def scan_licenses(
     docs: DataFrame,
     *,
@@ -150,9 +203,10 @@ def scan_licenses(
 ) -> DataFrame:
     """(row, res) per document; res.matches lists license, template number, word span [start, end) and containment.
 
-    Of overlapping windows with the same template the one that contains most of it is listed, and a match gives way to an
+    Every copy of a template is listed. Of overlapping finds of one template that with most of it stays, of equal ones the first, and a match gives way to an
     overlapping one of another license that is contained to a greater share. Null, empty and shorter texts than five
-    words have no matches. Every word of a text lies in some window; long texts are taken in overlapping pieces. The
+    words have no matches. Every word of a text lies in some window; long texts are taken in overlapping pieces. Repeated rows are scanned one
+    by one, an empty table gives no rows, and columns of any name are kept as they are. The
     templates are a parameter held on the driver, so the index that each task builds is bounded by it.
     """
     templates = TEMPLATES if templates is None else templates
@@ -169,19 +223,21 @@ def scan_licenses(
                 found |= {(a + s, a + e, i) for s, e, i in index.candidates(sh[a : a + step + reach])}
             if not found:
                 return []
-            w, best = words(t), defaultdict(list)
-            for s, e, i in sorted(found):
+            w, copies = words(t), defaultdict(set)
+            for s, e, i in found:
+                window = [b" ".join(w[p : p + _WORDS]) for p in range(s, e)]
+                copies[i].update((n, s + first, s + last + _WORDS) for first, last, n in copies_in(window, index.items[i][2], index.need[i]))
+            all_ = []
+            for i, mine in copies.items():
                 name, k, own = index.items[i]
-                at = [p for p in range(s, e) if b" ".join(w[p : p + _WORDS]) in own]
-                if at and (n := len({b" ".join(w[p : p + _WORDS]) for p in at})) >= index.need[i]:
-                    m = {"license": name, "template": k, "start": at[0], "end": at[-1] + _WORDS, "contained": n / len(own)}
-                    last = best[i][-1] if best[i] else None
-                    if last is None or m["start"] >= last["end"]:
-                        best[i].append(m)
-                    elif (m["contained"], last["end"] - last["start"]) > (last["contained"], m["end"] - m["start"]):
-                        best[i][-1] = m
+                taken: list[tuple[int, int]] = []
+                for n, start, end in sorted(mine, key=lambda c: (-c[0], c[2] - c[1], c[1])):
+                    at = bisect_left(taken, (start, end))
+                    if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                        taken.insert(at, (start, end))
+                        all_.append({"license": name, "template": k, "start": start, "end": end, "contained": n / len(own)})
             kept: list[dict] = []
-            for m in sorted((m for ms in best.values() for m in ms), key=lambda m: (-m["contained"], m["start"] - m["end"], m["license"], m["template"])):
+            for m in sorted(all_, key=lambda m: (-m["contained"], m["start"] - m["end"], m["license"], m["template"])):
                 over = (x for x in kept if x["start"] < m["end"] and m["start"] < x["end"])
                 if not any(x["license"] != m["license"] and x["contained"] > m["contained"] for x in over):
                     kept.append(m)
