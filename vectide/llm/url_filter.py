@@ -3,7 +3,8 @@
 An entry names a host (``host``), a domain with its subdomains (``domain``) or one address (``url``). A capture has one
 key for its address, one for its host and one for each domain above it; keys are joined to intervals by
 equality, and the fetch time picks the active one. A list has at most one interval per key and day, so a key's side of
-the join is bounded by the calendar; the captures' side is split by Spark where one host holds many of them.
+the join is bounded by the calendar; the captures' side is dealt into ``lots``, and each lot meets a copy of the list, so a host with a
+third of all captures makes no task large. Keys of a kind or depth (number of labels) that no entry has, such as top-level domains, are never made.
 """
 
 from __future__ import annotations
@@ -41,32 +42,41 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return turns.where("action = 'add'").select("list", "kind", "pattern", F.col("day").alias("since"), "until")
 
 
-def _keys(host: Column, address: Column) -> Column:
+def _keys(host: Column, address: Column, kinds: Column, depths: Column) -> Column:
+    """The keys of a capture, of kinds and depths that the list has."""
     labels = F.split(host, r"\.")
     up = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))),
+        F.filter(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.array_contains(depths, F.size(labels) - i + 1)),
         lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")),
     )
     own = F.array(
         F.struct(F.lit("host").alias("kind"), host.alias("pattern")), F.struct(F.lit("url").alias("kind"), F.lower(address).alias("pattern"))
     )
+    own = F.filter(own, lambda x: F.array_contains(kinds, x["kind"]))
     return F.when(host != "", F.concat(own, up)).otherwise(F.array().cast("array<struct<kind:string,pattern:string>>"))
 
 
-def evaluate_captures(captures: DataFrame, entries: DataFrame, *, page_id: str = "page_id", url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
+def evaluate_captures(
+    captures: DataFrame, entries: DataFrame, *, page_id: str = "page_id", url: str = "url", fetched_at: str = "fetched_at", lots: int = 16
+) -> DataFrame:
     """page_id, url, fetched_at, n_active, rule and blocked for each capture.
 
     n_active counts the entries active at the fetch time (from the day of the add, up to the day before that of the
     remove). rule is the most specific one, as list:kind:pattern: an address before a host before a domain, the longer
     domain first, an allow before a block. blocked is true if that rule's list is ``block``. A capture without a
-    host or a time has no active entries. Repeated rows each keep their row.
+    host or a time has no active entries. Repeated rows each keep their row. A table of no captures gives no rows, an empty list none that
+    are active; long addresses count whole. Other columns of either table play no part, whatever their names.
     """
     c = captures.select(col(page_id).alias("page_id"), col(url).cast("string").alias("url"), col(fetched_at).cast("timestamp").alias("fetched_at"))
     c = c.groupBy("page_id", "url", "fetched_at").agg(F.count("*").alias("rows"))
-    spans = validity_intervals(entries)
-    k = c.select("page_id", "url", "fetched_at", F.explode(_keys(host_of(F.col("url")), address_of(F.col("url")))).alias("k"))
-    k = k.select("page_id", "url", "fetched_at", "k.kind", "k.pattern")
-    active = k.join(spans, ["kind", "pattern"]).where("to_date(fetched_at) >= since and (until is null or to_date(fetched_at) < until)")
+    spans = validity_intervals(entries).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    depth = F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\.")))
+    said = entries.agg(F.struct(F.collect_set("kind").alias("kinds"), F.collect_set(depth).alias("depths"))).scalar()
+    keys = _keys(host_of(F.col("url")), address_of(F.col("url")), F.col("said.kinds"), F.col("said.depths"))
+    k = c.select("*", said.alias("said")).select("page_id", "url", "fetched_at", F.explode(keys).alias("k"))
+    lot = F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.lit(lots)).cast("int").alias("lot")
+    k = k.select("page_id", "url", "fetched_at", "k.kind", "k.pattern", lot)
+    active = k.join(spans, ["kind", "pattern", "lot"]).where("to_date(fetched_at) >= since and (until is null or to_date(fetched_at) < until)")
     rank = F.struct(
         F.when(F.col("kind") == "url", 0).when(F.col("kind") == "host", 1).otherwise(2).alias("a"),
         (-F.length("pattern")).alias("b"),
