@@ -46,7 +46,6 @@ def test_token_counts(spark, documents, corpus):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_vocab())
-    t.encode_special_tokens = True
     n = Counter(len(t.encode(x, add_special_tokens=False).ids) for _, x in corpus if x is not None)
     h = token_counts.length_histogram(documents)
     assert {r.length: r.n_docs for r in h.collect()} == n
@@ -66,13 +65,28 @@ def test_token_counts(spark, documents, corpus):
 
 
 def test_encoder_equals_the_vocabulary_file():
+    """With the library's defaults, also around the length at which the library changes."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_vocab())
-    t.encode_special_tokens = True
     encode = encoder()
-    for x in ("", "Hello  world\n\n", "é" * 50, "<|endoftext|> a", " \t\r\n", "日本語 😀", "a" * 30000, " " * 30000 + "x"):
+    texts = ["", "Hello  world\n\n", "é" * 50, "<|endoftext|> a", "a<|endoftext|><|endoftext|>b <|endoftext", " \t\r\n", "日本語 😀", " " * 30000 + "x", "\u00a0 \u2003\u3000a\u2028 b\u0085"]
+    texts += [x * n for x in ("a", " ", "\n", "é", "\u3000", "ab,") for n in (6666, 19_999, 20_000)]
+    for x in texts:
         assert list(encode(x)) == t.encode(x, add_special_tokens=False).ids
+    assert list(encode("<|endoftext|>")) == [50256]
+
+
+@given(st.lists(st.one_of(st.text(), st.sampled_from(["<|endoftext|>", "<|", " \u00a0", "\r\n", "\u2003", "don't", "1234"])), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_encoder_equals_the_vocabulary_file_on_any_text(parts):
+    from tokenizers import Tokenizer
+
+    if not hasattr(test_encoder_equals_the_vocabulary_file_on_any_text, "pair"):
+        test_encoder_equals_the_vocabulary_file_on_any_text.pair = Tokenizer.from_file(default_vocab()), encoder()
+    plain, encode = test_encoder_equals_the_vocabulary_file_on_any_text.pair
+    text = "".join(parts)
+    assert list(encode(text)) == plain.encode(text, add_special_tokens=False).ids
 
 
 # 2 -----------------------------------------------------------------------------------------------------------
@@ -107,6 +121,52 @@ def test_license_windows_find_every_planted_template(spark):
     assert licenses.bands_needed(0.5, 0.9999) == 14 and licenses.bands_needed(1.0, 0.9999) == 1
 
 
+def brute_licenses(text, templates, contained=0.8):
+    """Every stretch of the text that holds enough of a template's shingles in their order, best first, without overlaps."""
+    w, out = plain_words(text), set()
+    text_grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    for name, versions in templates.items():
+        for k, version in enumerate(versions):
+            v = plain_words(version)
+            grams = [tuple(v[i : i + 5]) for i in range(len(v) - 4)]
+            need, finds = math.ceil(contained * len(set(grams)) - 1e-9), []
+            for start in (i for i, g in enumerate(text_grams) if g in grams):
+                for end in range(start, min(len(text_grams), start + 2 * len(grams))):
+                    held = [grams.index(g) for g in text_grams[start : end + 1] if g in grams]
+                    if text_grams[end] in grams and len(held) >= need and held == sorted(set(held)):
+                        finds.append((-len(held), start, end))
+            taken = []
+            for n, a, b in sorted(finds, key=lambda f: (f[0], f[2] - f[1], f[1])):
+                if all(b + 5 <= x or y <= a for x, y in taken):
+                    taken.append((a, b + 5))
+                    out.add((name, k, a, b + 5))
+    return out
+
+
+def test_every_copy_of_a_template_is_listed(spark):
+    import random
+
+    rng = random.Random(4)
+    templates = {"A": (" ".join(f"a{i}" for i in range(70)), " ".join(f"s{i}" for i in range(5))), "B": (" ".join(f"b{i}" for i in range(24)),)}
+    docs = [(0, None), (1, ""), (2, "a1 a2")]
+    for i in range(3, 60):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            v = rng.choice([*templates["A"], *templates["B"]]).split()
+            for _ in range(rng.randint(0, 2)):
+                v[rng.randrange(len(v))] = "changed"
+            cut = rng.randint(0, len(v) // 8)
+            parts += [*v[cut:], *(f"x{rng.randrange(999)}" for _ in range(rng.choice((0, 0, 3, 40))))]
+        docs.append((i, " ".join(parts)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"row": F.lit(1), "res": F.lit(2), "matches": F.lit(3)})
+    got = {r.row.doc_id: {(m.license, m.template, m.start, m.end) for m in r.res.matches} for r in licenses.scan_licenses(df, templates=templates).collect()}
+    assert got == {i: brute_licenses(t, templates) for i, t in docs} and sum(len(x) > 1 for x in got.values()) > 10
+    mit = licenses.TEMPLATES["MIT"][2]
+    two = licenses.scan_licenses(spark.createDataFrame([(1, f"{mit} {mit}")], "doc_id long, text string"), templates={"MIT": (mit,)}).first()
+    assert [(m.start, m.end) for m in two.res.matches] == [(0, 88), (88, 176)]
+    assert licenses.scan_licenses(df.where("false")).count() == 0
+
+
 # 3 -----------------------------------------------------------------------------------------------------------
 def brute_contamination(text, items, size=13):
     w, hit, found = plain_words(text), set(), set()
