@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -154,6 +155,112 @@ def packed_codes(rows: DataFrame, bits: int, dim: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def fit_turned_pair(sample: DataFrame, dim: int) -> tuple[list[float], list[float]]:
+    """The pair of the rotated encoder: each turned coordinate's mean, and one over its deviation (1 for a constant), so that the codebook fits.
+
+    Tasks give three sums per coordinate; the driver adds these up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, total = rotation(dim), np.zeros((2, dim))
+        n = 0
+        for b in batches:
+            y = turned(b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim), turn)[0]
+            n, total = n + len(y), total + np.array([y.sum(axis=0), (y**2).sum(axis=0)])
+        yield pa.RecordBatch.from_pydict({"n": [n], "s": [total[0].tolist()], "q": [total[1].tolist()]})
+
+    got = sample.select("embedding").mapInArrow(run, "n long, s array<double>, q array<double>").collect()
+    n = max(1, sum(r.n for r in got))
+    mean = np.sum([r.s for r in got], axis=0) / n
+    spread = np.sqrt(np.maximum(np.sum([r.q for r in got], axis=0) / n - mean**2, 0))
+    return mean.tolist(), np.where(spread > 1e-9, 1 / np.maximum(spread, 1e-9), 1.0).tolist()
+
+
+def turned(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows, rotated and brought to unit variance; and the rows' lengths."""
+    size = np.sqrt((x**2).sum(axis=1))
+    return np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0) @ turn.T * np.sqrt(x.shape[1]), size
+
+
+ENCODINGS = ("rotated", "scalar", "raw")
+
+
+@dataclass(frozen=True)
+class Coding:
+    """How an index keeps its rows: packed codes and one scale a row (or raw floats), under a pair that all of its rows share."""
+
+    encoding: str
+    bits: int
+    dim: int
+    shift: tuple[float, ...] = ()
+    scale: tuple[float, ...] = ()
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return ("embedding",) if self.encoding == "raw" else ("codes", "scale")
+
+    def _pair(self) -> tuple[np.ndarray, np.ndarray]:
+        return (np.array(self.shift), np.array(self.scale)) if self.shift else (np.zeros(self.dim), np.ones(self.dim))
+
+    def codes_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the rows of x, and their scales."""
+        shift, gain = self._pair()
+        if self.encoding == "scalar":
+            return np.clip(np.floor((x - shift) * gain + 0.5), 0, 2**self.bits - 1).astype(np.uint8), np.ones(len(x))
+        book = gaussian_codebook(self.bits)
+        y, size = turned(x, rotation(self.dim))
+        codes = np.searchsorted((book[1:] + book[:-1]) / 2, (y - shift) * gain).astype(np.uint8)
+        along = ((book[codes] / gain + shift) * y).sum(axis=1) / self.dim
+        return codes, np.where(size > 0, size / np.where(along > 0, along, 1) / np.sqrt(self.dim), 0.0)
+
+    def rows_of(self, codes: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """The rows that the codes stand for, in the space of queries()."""
+        shift, gain = self._pair()
+        if self.encoding == "scalar":
+            return codes / gain + shift
+        return (gaussian_codebook(self.bits)[codes] / gain + shift) * scale[:, None]
+
+    def queries(self, queries: Sequence[tuple[int, Sequence[float]]]) -> list[tuple[int, list[float]]]:
+        return rotated_queries(queries, self.dim) if self.encoding == "rotated" else list(queries)
+
+    def encode(self, rows: DataFrame) -> DataFrame:
+        """rows with codes and scale in place of embedding; a row without dim finite coordinates has no codes."""
+        if self.encoding == "raw":
+            return rows
+        names = [c for c in rows.columns if c != "embedding"]
+        schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", codes binary, scale double"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                good = [i for i, v in enumerate(b.column("embedding").to_pylist()) if v is not None and len(v) == self.dim and None not in v and np.isfinite(v).all()]
+                x = b.column("embedding").take(pa.array(good, pa.int64())).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), self.dim)
+                codes, scale = self.codes_of(x)
+                planes = (codes[:, None, :] >> np.arange(self.bits, dtype=np.uint8)[None, :, None]) & 1
+                data = np.packbits(planes, axis=2, bitorder="little").reshape(len(good), self.bits * self.dim // 8)
+                packed: list[bytes | None] = [None] * b.num_rows
+                for i, row in zip(good, data, strict=True):
+                    packed[i] = row.tobytes()
+                scales = np.zeros(b.num_rows)
+                scales[good] = scale
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(packed, pa.binary()), pa.array(scales)], names=[*names, "codes", "scale"])
+
+        return rows.mapInArrow(run, schema)
+
+    def matrix(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The rows of a batch as floats or doubles."""
+        if self.encoding == "raw":
+            e = batch.column("embedding")
+            if e.null_count or e.values.null_count or len(e.flatten()) != batch.num_rows * self.dim:
+                raise ValueError(f"a row doesn't have {self.dim} coordinates")
+            return e.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, self.dim)
+        data = np.frombuffer(b"".join(batch.column("codes").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, self.bits, self.dim // 8)
+        planes = np.unpackbits(data, axis=2, bitorder="little")
+        codes = np.zeros((batch.num_rows, self.dim), dtype=np.uint8)
+        for i in range(self.bits):
+            codes |= planes[:, i] << i
+        return self.rows_of(codes, batch.column("scale").to_numpy(zero_copy_only=False))
+
+
 def fingerprint(dim: int, bits: int, shift: Sequence[float], scale: Sequence[float]) -> str:
     """SHA-256 over a tag, the shape and the float32 bits of the pair, in lower hex: equal where scores are equal (H5)."""
     h = hashlib.sha256(b"vectide-scoring-1")

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from ..functions.vectors import bit_set
 
 Bitmap = tuple[int, int, bytes]
 
 
+def signed(x: int) -> int:
+    """The 64 bits of a label or id, which have no sign, as a column of Spark holds them."""
+    if not -(1 << 63) <= x < 1 << 64:
+        raise InvalidArgument(f"{x} has more than 64 bits")
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def unsigned(x: int) -> int:
+    return x & (1 << 64) - 1
+
+
 def _one_column(rows: DataFrame, name: str, values: Sequence[int] | DataFrame) -> DataFrame:
     if isinstance(values, DataFrame):
         return values.select(F.col(values.columns[0]).cast("long").alias(name)).distinct()
-    return rows.sparkSession.createDataFrame([(int(v),) for v in sorted(set(values))], f"{name} long")
+    return rows.sparkSession.createDataFrame([(signed(int(v)),) for v in sorted(set(values))], f"{name} long")
 
 
 def admit_slots(rows: DataFrame, slots: Sequence[int] | DataFrame | None, n: int) -> DataFrame:
@@ -78,18 +90,27 @@ def bitmap_faults(bitmaps: DataFrame) -> DataFrame:
 def admit_bitmap(rows: DataFrame, bitmaps: Sequence[Bitmap] | None) -> DataFrame:
     """Rows whose label's bit is set in some range (B6). None means no filter.
 
-    Ranges don't overlap, so they are looked up by equality on their number, which each label gets from the sorted
-    bounds; a row is compared with one range, not with all.
+    Ranges don't overlap, so each label is looked up among their sorted bounds by halving. The bitmaps are part of a request and go
+    to every task.
     """
     if bitmaps is None:
         return rows
     check_bitmaps(bitmaps)
     if not bitmaps:
         return rows.where(F.lit(False))
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(i, b, c, bytearray(x)) for i, (b, c, x) in enumerate(bitmaps)], "range int, base long, cnt long, bits binary")
-    bases = F.array(*[F.lit(b).cast("long") for b, _, _ in bitmaps])
-    at = F.size(F.filter(bases, lambda b: b <= F.col("label"))) - 1
-    hit = rows.withColumn("range", at).join(table, "range")
-    offset = F.col("label") - F.col("base")
-    return hit.where((offset >= 0) & (offset < F.col("cnt"))).where(bit_set(F.col("bits"), offset)).select(*rows.columns)
+    data = [(b, c, bytes(x)) for b, c, x in bitmaps]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bases, counts = (np.array([x[i] for x in data], dtype=np.uint64) for i in (0, 1))
+        starts = np.cumsum([0, *(len(x[2]) for x in data)])[:-1]
+        bits = np.frombuffer(b"".join(x[2] for x in data), dtype=np.uint8)
+        for b in batches:
+            label = b.column("label").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.searchsorted(bases, label, side="right") - 1
+            offset = label - bases[np.maximum(at, 0)]
+            ok = (at >= 0) & (offset < counts[np.maximum(at, 0)]) & ~b.column("label").is_null().to_numpy(zero_copy_only=False)
+            place = np.where(ok, starts[np.maximum(at, 0)] + (offset >> np.uint64(3)).astype(np.int64), 0)
+            ok &= (bits[place] >> (offset & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            yield b.filter(pa.array(ok))
+
+    return rows.withColumn("label", F.col("label").cast("long")).mapInArrow(run, rows.withColumn("label", F.col("label").cast("long")).schema)

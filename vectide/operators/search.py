@@ -18,11 +18,10 @@ from pyspark.sql import functions as F
 
 from ..config import Limits
 from ..errors import FailedPrecondition, InvalidArgument, ResourceExhausted
-from ..functions.vectors import dot
+from .codes import Coding
 
 Query = tuple[int, list[float]]
 
-_NO_LABEL = np.iinfo(np.int64).min
 #: Numbers that a task holds at once in a matrix of scores or of products.
 _CELLS = 1 << 22
 
@@ -63,11 +62,16 @@ def left_sums(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.cumsum(x * q, axis=1)[:, -1] + 0.0 if x.shape[1] else np.zeros(len(x))
 
 
-def scan(rows: DataFrame, queries: Sequence[Query], k: int | None, *, floor: float | None = None, ties: bool = False, by_label: bool = False) -> DataFrame:
+def scan(
+    rows: DataFrame, queries: Sequence[Query], k: int | None, *, floor: float | None = None, ties: bool = False, by_label: bool = False, coding: Coding | None = None
+) -> DataFrame:
     """query_id, score, shard, slot, label: each task's best k rows per query (all at or above the floor if k is None).
 
-    rows: shard, slot, label, embedding (floats, or doubles as decoded codes are). ties keeps every row that equals the task's k-th score.
+    rows: shard, slot, label, embedding (floats, or doubles as decoded codes are), or what coding keeps in place of it. ties keeps
+    every row that equals the task's k-th score. Labels are 64 bits without a sign; columns of Spark hold the same bits with one.
     """
+    coding = coding or Coding("raw", 4, len(queries[0][1]) if queries else 0)
+    queries = coding.queries(queries)
     ids = np.array([q for q, _ in queries], dtype=np.int64)
     matrix = np.array([v for _, v in queries], dtype=np.float64).reshape(len(ids), -1)
     dim = matrix.shape[1]
@@ -76,21 +80,21 @@ def scan(rows: DataFrame, queries: Sequence[Query], k: int | None, *, floor: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_queries, lengths = len(ids), np.sqrt((matrix**2).sum(axis=1))
         cuts = np.full(n_queries, -np.inf if floor is None else floor)
-        pool: list[np.ndarray] = [np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64, np.int64)]
+        pool: list[np.ndarray] = [np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64, np.uint64, bool)]
         waiting: list[list[np.ndarray]] = []
 
         def batch_of(p: list[np.ndarray]) -> pa.RecordBatch:
-            label = pa.array(p[4], pa.int64(), mask=p[4] == _NO_LABEL)
+            label = pa.array(p[4].view(np.int64), pa.int64(), mask=p[5])
             columns = [pa.array(ids[p[0]]), pa.array(p[1]), pa.array(p[2].astype(np.int32)), pa.array(p[3]), label]
             return pa.RecordBatch.from_arrays(columns, names=["query_id", "score", "shard", "slot", "label"])
 
         def merge() -> None:
             """The best k of the pool and what waits, per query; the k-th score becomes the query's cut."""
             nonlocal pool
-            q, score, shard, slot, label = (np.concatenate(c) for c in zip(pool, *waiting, strict=True))
+            q, score, shard, slot, label, bare = (np.concatenate(c) for c in zip(pool, *waiting, strict=True))
             waiting.clear()
             order = np.lexsort((slot, shard, *([label] if by_label else []), -score, q))
-            q, score, shard, slot, label = (c[order] for c in (q, score, shard, slot, label))
+            q, score, shard, slot, label, bare = (c[order] for c in (q, score, shard, slot, label, bare))
             first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
             size = np.diff(np.r_[first, len(q)])
             full = size >= k
@@ -99,17 +103,15 @@ def scan(rows: DataFrame, queries: Sequence[Query], k: int | None, *, floor: flo
             keep = np.arange(len(q)) - np.repeat(first, size) < k
             if ties:
                 keep |= score >= cuts[q]
-            pool = [c[keep] for c in (q, score, shard, slot, label)]
+            pool = [c[keep] for c in (q, score, shard, slot, label, bare)]
 
         for b in batches:
             if not b.num_rows:
                 continue
-            e = b.column("embedding")
-            if e.null_count or e.values.null_count or len(e.flatten()) != b.num_rows * dim:
-                raise ValueError(f"a row doesn't have {dim} coordinates")
-            all_x = e.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
+            all_x = coding.matrix(b)
             own = [b.column("shard").to_numpy(zero_copy_only=False).astype(np.int64), b.column("slot").to_numpy(zero_copy_only=False)]
-            own.append(b.column("label").fill_null(_NO_LABEL).to_numpy(zero_copy_only=False))
+            own.append(b.column("label").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            own.append(b.column("label").is_null().to_numpy(zero_copy_only=False))
             step = max(1, _CELLS // n_queries)
             for start in range(0, b.num_rows, step):
                 x = all_x[start : start + step].astype(np.float64)
@@ -138,28 +140,40 @@ def scan(rows: DataFrame, queries: Sequence[Query], k: int | None, *, floor: flo
             if len(pool[0]):
                 yield batch_of(pool)
 
-    kind = rows.schema["embedding"].dataType.simpleString()
+    raw = coding.encoding == "raw"
+    kind = rows.schema["embedding"].dataType.simpleString() if raw else ""
+    data = [F.col("embedding").cast(kind if kind == "array<double>" else "array<float>").alias("embedding")] if raw else ["codes", "scale"]
     src = rows.select(
         F.col("shard").cast("int").alias("shard"),
         F.col("slot").cast("long").alias("slot"),
         F.col("label").cast("long").alias("label"),
-        F.col("embedding").cast(kind if kind == "array<double>" else "array<float>").alias("embedding"),
+        *data,
     )
     return src.mapInArrow(run, schema)
 
 
 def order_of(by_label: bool) -> list:
-    """Best score first; then shard and slot, or label, shard and slot."""
-    return [F.desc("score"), *(["label"] if by_label else []), "shard", "slot"]
+    """Best score first; then shard and slot, or label, shard and slot (F2, F3). Labels from 2**63 on are negative columns and come last."""
+    return [F.desc("score"), *([F.col("label") < 0, "label"] if by_label else []), "shard", "slot"]
+
+
+def ranked(candidates: DataFrame, k: int, *, ties: bool = False, by_label: bool = False, lots: int | None = None) -> DataFrame:
+    """Global top-k of candidates with rank; ties keeps every row at the k-th score.
+
+    Where many tasks give candidates, these are first ranked in ``lots`` per query, so that no task gets those of all tasks.
+    """
+    lots = max(1, int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 32) if lots is None else lots
 
+    def best(df: DataFrame, *by: str) -> DataFrame:
+        per = Window.partitionBy("query_id", *by)
+        out = df.withColumn("rank", F.row_number().over(per.orderBy(*order_of(by_label))))
+        if ties:
+            return out.withColumn("place", F.rank().over(per.orderBy(F.desc("score")))).where(F.col("place") <= k).drop("place")
+        return out.where(F.col("rank") <= k)
 
-def ranked(candidates: DataFrame, k: int, *, ties: bool = False, by_label: bool = False) -> DataFrame:
-    """Global top-k of candidates with rank; ties keeps every row at the k-th score."""
-    per = Window.partitionBy("query_id")
-    out = candidates.withColumn("rank", F.row_number().over(per.orderBy(*order_of(by_label))))
-    if ties:
-        return out.withColumn("place", F.rank().over(per.orderBy(F.desc("score")))).where(F.col("place") <= k).drop("place")
-    return out.where(F.col("rank") <= k)
+    if lots > 1:
+        candidates = best(candidates.withColumn("lot", F.pmod(F.xxhash64("shard", "slot"), F.lit(lots)).cast("int")), "lot").drop("lot", "rank")
+    return best(candidates)
 
 
 def search(
@@ -172,6 +186,7 @@ def search(
     ties: bool = False,
     by_label: bool = False,
     limits: Limits = Limits(),
+    coding: Coding | None = None,
 ) -> DataFrame:
     """query_id, rank, score, label, shard, slot: the best k rows of each query, at or above the inclusive floor.
 
@@ -184,7 +199,7 @@ def search(
     if not qs:
         raise InvalidArgument("a request needs a query")
     check_queries(qs, len(qs[0][1]) if dim is None else dim)
-    got = ranked(scan(rows, qs, k, floor=floor, ties=ties, by_label=by_label), k, ties=ties, by_label=by_label)
+    got = ranked(scan(rows, qs, k, floor=floor, ties=ties, by_label=by_label, coding=coding), k, ties=ties, by_label=by_label)
     return got.select("query_id", "rank", "score", "label", "shard", "slot")
 
 
@@ -216,11 +231,13 @@ def scan_many(rows: DataFrame, queries: DataFrame | Sequence, k: int | None, **h
     return out
 
 
-def search_many(rows: DataFrame, queries: DataFrame | Sequence, k: int, *, floor: float | None = None, ties: bool = False, by_label: bool = False) -> DataFrame:
+def search_many(
+    rows: DataFrame, queries: DataFrame | Sequence, k: int, *, floor: float | None = None, ties: bool = False, by_label: bool = False, coding: Coding | None = None
+) -> DataFrame:
     """search() for a query set of any size."""
     check_k(k)
     check_floor(floor)
-    got = ranked(scan_many(rows, queries, k, floor=floor, ties=ties, by_label=by_label), k, ties=ties, by_label=by_label)
+    got = ranked(scan_many(rows, queries, k, floor=floor, ties=ties, by_label=by_label, coding=coding), k, ties=ties, by_label=by_label)
     return got.select("query_id", "rank", "score", "label", "shard", "slot")
 
 
@@ -245,8 +262,3 @@ def candidates(rows: DataFrame, queries: DataFrame | Sequence, *, floor: float |
 def require_labels(rows: DataFrame) -> None:
     if rows.where(F.col("label").isNull()).head() is not None:
         raise FailedPrecondition("this request needs labelled rows")
-
-
-def scored(rows: DataFrame, query: Sequence[float]) -> DataFrame:
-    """rows with the score against one query, in the plan itself."""
-    return rows.withColumn("score", dot(F.array(*[F.lit(float(x)) for x in query]), F.col("embedding")))

@@ -26,6 +26,11 @@ def split_plan(total: int, targets: int, counts: Sequence[int] | None = None) ->
     return [(i, e - c, e) for i, (c, e) in enumerate(zip(own, ends, strict=True))]
 
 
+def payload(rows: DataFrame) -> list[str]:
+    """What a row keeps beside its slot and label: floats, or codes and their scale, which move untouched."""
+    return [c for c in ("embedding", "codes", "scale") if c in rows.columns]
+
+
 def split_rows(rows: DataFrame, plan: Sequence[tuple[int, int, int]]) -> DataFrame:
     """rows (slot, label, embedding) with shard and the slot within it; without a label the old slot becomes it."""
     shard, start = F.lit(None).cast("int"), F.lit(None).cast("long")
@@ -36,7 +41,7 @@ def split_rows(rows: DataFrame, plan: Sequence[tuple[int, int, int]]) -> DataFra
         shard.cast("int").alias("shard"),
         (F.col("slot") - start).cast("long").alias("slot"),
         F.coalesce("label", "slot").cast("long").alias("label"),
-        "embedding",
+        *payload(rows),
     )
 
 
@@ -61,7 +66,7 @@ def join_shards(rows: DataFrame, order: Sequence[int] | None = None) -> DataFram
         offset += sizes.get(s, 0)
     base = rows.sparkSession.createDataFrame(offsets, "shard int, base long") if offsets else None
     return rows.join(base, "shard").select(
-        F.lit(0).alias("shard"), (F.col("slot") + F.col("base")).alias("slot"), F.coalesce("label", "slot").alias("label"), "embedding"
+        F.lit(0).alias("shard"), (F.col("slot") + F.col("base")).alias("slot"), F.coalesce("label", "slot").alias("label"), *payload(rows)
     )
 
 
@@ -70,7 +75,7 @@ def label_uniqueness(rows: DataFrame) -> DataFrame:
     return rows.groupBy("label").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-def export_rows(rows: DataFrame, start: int, count: int, *, dim: int, bits: int = 4, n: int | None = None) -> DataFrame:
+def export_rows(rows: DataFrame, start: int, count: int, *, dim: int, bits: int = 4, n: int | None = None, frame_bytes: int = 2 * 1024 * 1024) -> DataFrame:
     """frame, slot, label, embedding of count rows from start on, or up to the end for 0 (A6). A range beyond the index is refused."""
     if start < 0 or count < 0:
         raise InvalidArgument("start and count can't be negative")
@@ -79,18 +84,19 @@ def export_rows(rows: DataFrame, start: int, count: int, *, dim: int, bits: int
     here = F.col("slot") >= start
     if count:
         here &= F.col("slot") < start + count
-    frame = F.floor((F.col("slot") - start) / rows_per_frame(dim, bits)).cast("long")
-    return rows.where(here).select(frame.alias("frame"), "slot", F.coalesce("label", "slot").alias("label"), "embedding")
+    frame = F.floor((F.col("slot") - start) / rows_per_frame(dim, bits, frame_bytes)).cast("long")
+    return rows.where(here).select(frame.alias("frame"), "slot", F.coalesce("label", "slot").alias("label"), *payload(rows))
 
 
-def import_rows(blocks: Sequence[DataFrame], expected_rows: int, *, dim: int) -> DataFrame:
-    """slot, label, embedding of the blocks one after the other (A7): refused unless dimension and row count are as declared."""
+def import_rows(blocks: Sequence[DataFrame], expected_rows: int, *, dim: int, bits: int = 4) -> DataFrame:
+    """slot, label and payload of the blocks one after the other (A7): refused unless dimension and row count are as declared."""
     parts, offset = [], 0
     for b in blocks:
-        got = b.agg(F.count("*").alias("n"), F.coalesce(F.min("slot"), F.lit(0)).alias("first"), F.count_if(F.size("embedding") != dim).alias("odd")).first()
+        odd = F.octet_length("codes") != bits * dim // 8 if "codes" in b.columns else F.size("embedding") != dim
+        got = b.agg(F.count("*").alias("n"), F.coalesce(F.min("slot"), F.lit(0)).alias("first"), F.count_if(odd).alias("odd")).first()
         if got.odd:
             raise CollectionError("dimension_mismatch", f"{got.odd} rows don't have {dim} coordinates")
-        parts.append(b.select((F.col("slot") - got.first + offset).alias("slot"), "label", "embedding"))
+        parts.append(b.select((F.col("slot") - got.first + offset).alias("slot"), "label", *payload(b)))
         offset += got.n
     if offset != expected_rows:
         raise CollectionError("row_count_mismatch", f"{offset} rows came, {expected_rows} were declared")

@@ -26,6 +26,11 @@ class Files:
         at = self._path(self.path(name) if name else self.root)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
+    def size(self, names: list[str]) -> int:
+        """Bytes of all files in these folders; -1 if one is missing."""
+        paths = [self._path(self.path(n)) for n in names]
+        return sum(self._fs.getContentSummary(p).getLength() for p in paths) if all(map(self._fs.exists, paths)) else -1
+
     def make(self, name: str = "") -> None:
         self._fs.mkdirs(self._path(self.path(name) if name else self.root))
 

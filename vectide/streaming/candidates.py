@@ -6,7 +6,7 @@ import heapq
 import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +15,17 @@ from pyspark.sql import functions as F
 
 from ..config import Limits
 from ..errors import InvalidArgument
-from ..operators.search import check_floor, check_queries, scan
+from ..operators.codes import Coding
+from ..operators.measures import Metrics
+from ..operators.search import check_floor, check_queries, require_labels, scan
 
 
 @dataclass
 class Certificate:
-    """What a feed has done. completed is true only if every block of every shard was scanned."""
+    """What a feed has done. completed is true only if every block of every shard was scanned; each shard is completed once."""
 
     completed: bool = False
+    completed_shards: list[int] = field(default_factory=list)
     emitted: int = 0
     blocks: int = 0
     floor_raises: int = 0
@@ -33,10 +36,20 @@ class Feed:
     """One query's rows at or above a live floor, block by block of ascending slots; iterate it, then read certificate.
 
     raise_floor() counts from the next block on: a lower value than the present floor changes nothing (I1, I2). stop() ends the feed
-    after the present block, and its certificate says so (I3). A failed task raises; rows are never left out.
+    after the present block, and its certificate says so (I3). A failed task raises; rows are never left out. A shard is listed as
+    completed after the block that holds its last slot (I4). Candidates are named by their labels, so all rows need one (I5).
     """
 
-    def __init__(self, rows: DataFrame, query: Sequence[float], *, floor: float | None = None, block_rows: int = 1 << 20):
+    def __init__(
+        self,
+        rows: DataFrame,
+        query: Sequence[float],
+        *,
+        floor: float | None = None,
+        block_rows: int = 1 << 20,
+        coding: Coding | None = None,
+        metrics: Metrics | None = None,
+    ):
         check_floor(floor)
         check_queries([(0, list(query))], len(query))
         if block_rows < 1:
@@ -44,6 +57,7 @@ class Feed:
         self.rows, self.query, self.block_rows = rows, [float(x) for x in query], block_rows
         self.floor = float("-inf") if floor is None else float(floor)
         self.certificate, self._stopped = Certificate(), False
+        self.coding, self.metrics = coding, metrics or Metrics()
 
     def raise_floor(self, floor: float) -> None:
         check_floor(floor)
@@ -55,18 +69,26 @@ class Feed:
         self._stopped = True
 
     def __iter__(self) -> Iterator:
-        got = self.rows.agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count_distinct("shard").alias("s")).first()
-        self.certificate.shards = got.s
-        at = got.a
-        while at is not None and at <= got.b:
+        with self.metrics.scan(node_searches=1):
+            yield from self._blocks()
+
+    def _blocks(self) -> Iterator:
+        require_labels(self.rows)
+        ends = {r.shard: (r.a, r.b) for r in self.rows.groupBy("shard").agg(F.min("slot").alias("a"), F.max("slot").alias("b")).collect()}
+        self.certificate.shards = len(ends)
+        at, last = min((a for a, _ in ends.values()), default=0), max((b for _, b in ends.values()), default=-1)
+        while at <= last:
             if self._stopped:
                 return
             block = self.rows.where((F.col("slot") >= at) & (F.col("slot") < at + self.block_rows))
-            for r in scan(block, [(0, self.query)], None, floor=self.floor).select("score", "shard", "slot", "label").toLocalIterator():
+            for r in scan(block, [(0, self.query)], None, floor=self.floor, coding=self.coding).select("score", "shard", "slot", "label").toLocalIterator():
                 self.certificate.emitted += 1
+                self.metrics.add(candidates_emitted=1)
                 yield r
             self.certificate.blocks += 1
+            self.metrics.add(blocks_scanned=1)
             at += self.block_rows
+            self.certificate.completed_shards += sorted(s for s, (_, b) in ends.items() if at - self.block_rows <= b < at)
         self.certificate.completed = not self._stopped
 
 

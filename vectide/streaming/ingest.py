@@ -21,7 +21,9 @@ def ingest(stream: DataFrame, index: Index, checkpoint: str, *, name: str = "ing
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        index.add(batch, operation_id=f"{name}-{number}")
+        last = index.manifest.operation
+        again = last is not None and last.operation_id == f"{name}-{number}"
+        index.add(batch, operation_id=f"{name}-{number}", expected_len=last.expected_len if again else len(index))
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
