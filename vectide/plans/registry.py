@@ -553,8 +553,8 @@ def metrics_snapshot(spark, sf_dir):
     T AS (SELECT query_id, vec_id FROM X QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10),
     G AS (SELECT query_id, vec_id FROM S QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10),
     R AS (SELECT count(G.vec_id) / (10.0::DOUBLE * count(DISTINCT T.query_id)) AS recall FROM T LEFT JOIN G USING (query_id, vec_id)),
-    P AS (SELECT {_PCT} FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS r, count(*) OVER () AS n FROM events WHERE value IS NOT NULL))
-    SELECT recall, (SELECT count(value) FROM events) AS queries, p50, p95, p99, (SELECT count(value) / 2.5::DOUBLE FROM events) AS qps FROM R, P""")
+    W AS (SELECT {_PCT} FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS r, count(*) OVER () AS n FROM events WHERE value IS NOT NULL))
+    SELECT recall, (SELECT count(value) FROM events) AS queries, p50, p95, p99, (SELECT count(value) / 2.5::DOUBLE FROM events) AS qps FROM R, W""")
 def benchmark_report(spark, sf_dir):
     truth = search.search_many(rows_of(spark, sf_dir), queries_of(spark, sf_dir), 10)
     found, times = _scalar_topk(spark, sf_dir), table(spark, sf_dir, "events")
