@@ -196,6 +196,31 @@ def _classes(docs: DataFrame, functions: int, least: int) -> DataFrame:
     return rows.groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
 
 
+def _shared(band: DataFrame) -> DataFrame:
+    """Those of the rows (key, n, s) whose s some other row has too. They are sorted by s, so a task holds one batch and one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the last row so far, and whether the one before had its s
+        met = False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = b.column("s").to_numpy(zero_copy_only=False)
+            pair = s[1:] == s[:-1]
+            ok = np.r_[False, pair] | np.r_[pair, False]
+            if last is not None:
+                same = last.column("s")[0].as_py() == int(s[0])
+                ok[0] |= same
+                if met or same:
+                    yield last
+            yield b.slice(0, b.num_rows - 1).filter(pa.array(ok[:-1]))
+            last, met = b.slice(b.num_rows - 1), bool(ok[-1])
+        if last is not None and met:
+            yield last
+
+    return map_arrow(band.repartition("s").sortWithinPartitions("s"), run, "key binary, n bigint, s bigint")
+
+
 def word_bag(hashes: np.ndarray) -> np.ndarray:
     """Which cells the words fall in, each with its occurrence number, as packed bits."""
     h = labelled_kmers(hashes, 1)
@@ -260,10 +285,12 @@ def _possible(members: DataFrame, similarity: float) -> DataFrame:
     group = members.groupBy(*by, "r").agg(F.count("*").alias("n"))
     size = group.groupBy(*by).agg(F.sum("n").alias("all"), F.max(F.struct("n", "r")).alias("top"))
     blocks = lambda n: F.ceil(n / _BLOCK).cast("int")
-    size = size.select(*by, blocks(F.col("all") - F.col("top.n")).alias("blocks"), blocks(F.col("top.n")).alias("lots"), F.col("top.r").alias("top"))
-    d = members.join(size, by).withColumn("big", F.col("r") == F.col("top"))
+    few = F.col("all") <= _BLOCK  # these all meet in one row
+    lots = F.when(few, 0).otherwise(blocks(F.col("top.n"))).alias("lots")
+    size = size.select(*by, F.when(few, 1).otherwise(blocks(F.col("all") - F.col("top.n"))).alias("blocks"), lots, F.col("top.r").alias("top"))
+    d = members.join(size, by).withColumn("big", (F.col("r") == F.col("top")) & (F.col("lots") > 0))
     deal = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
-    d = d.withColumn("own", F.when(F.col("big"), F.col("blocks") + deal(F.col("lots"))).otherwise(deal(F.col("blocks"))))
+    d = d.withColumn("own", F.when(F.col("big"), F.col("blocks") + deal(F.greatest("lots", F.lit(1)))).otherwise(deal(F.col("blocks"))))
     # each row of a small block meets all small blocks and all lots, each row of a lot the small blocks
     last = F.col("blocks") + F.when(F.col("big"), 0).otherwise(F.col("lots")) - 1
     d = d.select("*", F.explode(F.sequence(F.lit(0), last)).alias("other"))
@@ -382,12 +409,11 @@ def _grouped(d: DataFrame, similarity: float, functions: int, least: int, scratc
     """key, id, n, root of each distinct text of d (key, id, text). same: links (a, b) that are known."""
     keep, narrow = scratch.keep, scratch.keep_narrow
     classes = keep(_classes(d.select("key", "id", "text"), functions, least))
-    band = classes.where("n > 0").select("key", "n", F.explode("sketch").alias("s"))
-    shared = band.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
+    band = keep(_shared(classes.where("n > 0").select("key", "n", F.explode("sketch").alias("s"))))
     # buckets by length: a text is in its own class (at home) and in the next, so that any two of near lengths meet
     own = F.floor(F.log("n") / -math.log(max(similarity, 1e-9) * 0.999)).cast("int")
     spots = F.explode(F.array(*[F.struct((own + k).alias("c"), F.lit(k == 0).alias("home")) for k in (0, 1)]))
-    met = keep(band.join(shared, "s")).select("key", "n", "s", spots.alias("x")).select("key", "n", "s", "x.*")
+    met = band.select("key", "n", "s", spots.alias("x")).select("key", "n", "s", "x.*")
 
     head = met.groupBy("s", "c").agg(F.count("*").alias("m"), F.max("home").alias("any"), F.min(F.struct("key", "n")).alias("head")).where("m > 1 and any")
     pairs = met.join(head.select("s", "c", "head"), ["s", "c"]).where("key <> head.key")
