@@ -1,21 +1,21 @@
-"""Removal of repeated passages of two or more lines.
+"""Content-defined line chunks, of which all but the first of equal ones are removed.
 
-Any passage of two or more lines with words that equals an earlier one consists of line pairs (a line with words, the next one
-and what blank lines lie between) that each occur earlier, and each such pair is a passage itself. So pairs grouped by hash, of
-which all but the first go, remove exactly the union of all repeated passages, wherever they start and end: dedupe_passages().
+A rolling hash over the hashes of the last ``window`` lines with words puts a boundary at each line where it is 0 modulo ``spread``, so boundaries
+are the same lines in every document that holds a passage, wherever it starts. A chunk runs from one boundary line to the next, both
+included, so neighbouring chunks share a line and no two neighbouring lines are parted. Chunks are grouped by hash over all documents.
 
-dedupe_lines() removes only whole chunks with content-defined boundaries, in half the rows. A rolling hash over the hashes of the last ``window`` lines ends a chunk wherever it is 0 modulo ``spread``, so chunks
-end at the same lines in every document that holds a passage, wherever it starts; what a passage holds before its first and after its
-last boundary stays. Chunks of two or more lines with words are grouped by hash.
+The coarser the chunks, the fewer rows, and the more is missed: a passage is only removed from its first boundary to its last. With
+``spread`` 1, which is the default, every line is a boundary. Then chunks are pairs of neighbouring lines (with the blank lines between them), and as any passage
+of two or more lines that equals an earlier one consists of pairs that do, exactly the union of all repeated passages goes.
 
 Where a hash stands for one text only (the group's least and greatest bytes are equal) the
-first piece in document order stays and the others are removed; where two texts share a hash, they are grouped by
+first chunk in document order stays and the others are removed; where two texts share a hash, they are grouped by
 their bytes instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -24,46 +24,34 @@ from pyspark.sql import functions as F
 
 from .common import col, map_arrow, packed, stored
 
-_M = (1 << 64) - 1
+_M, _BASE = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
-def chunk_bounds(lines: list[bytes], window: int, spread: int) -> list[int]:
-    """Where each chunk ends (exclusive line numbers)."""
-    hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
-    ends, roll, gone = [], 0, pow(0x9E3779B97F4A7C15, window, 1 << 64)
-    for i, h in enumerate(hashes):
-        roll = (roll * 0x9E3779B97F4A7C15 + h) & _M
-        if i >= window:
-            roll = (roll - hashes[i - window] * gone) & _M
+def boundaries(lines: list[bytes], window: int, spread: int) -> list[int]:
+    """The lines with words at which the rolling hash puts a boundary."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    if spread == 1:
+        return full
+    hashes, out, roll, gone = [xxhash.xxh3_64_intdigest(lines[i]) for i in full], [], 0, pow(_BASE, window, 1 << 64)
+    for k, h in enumerate(hashes):
+        roll = (roll * _BASE + h) & _M
+        if k >= window:
+            roll = (roll - hashes[k - window] * gone) & _M
         if (roll >> 32) % spread == 0:
-            ends.append(i + 1)
-    if lines and (not ends or ends[-1] != len(lines)):
-        ends.append(len(lines))
-    return ends
+            out.append(full[k])
+    return out
 
 
 def chunk_ranges(lines: list[bytes], window: int, spread: int) -> Iterator[tuple[int, int]]:
-    """First and last (exclusive) line of each chunk of two or more lines with words."""
-    start = 0
-    for end in chunk_bounds(lines, window, spread):
-        if end - start > 1 and sum(1 for x in lines[start:end] if x.strip()) > 1:
-            yield start, end
-        start = end
-
-
-def pair_ranges(lines: list[bytes]) -> Iterator[tuple[int, int]]:
-    """First and last (exclusive) line of each pair of neighbouring lines with words; blank lines between them belong to it."""
+    """First and last (exclusive) line of each chunk. A text's first and last line with words are boundaries of its own."""
     full = [i for i, x in enumerate(lines) if x.strip()]
-    for a, b in zip(full, full[1:], strict=False):
+    at = sorted({*full[:1], *boundaries(lines, window, spread), *full[-1:]})
+    for a, b in zip(at, at[1:], strict=False):
         yield a, b + 1
 
 
 def _chunks(docs: DataFrame, window: int, spread: int, with_text: bool) -> DataFrame:
-    return _pieces(docs, lambda lines: chunk_ranges(lines, window, spread), with_text)
-
-
-def _pieces(docs: DataFrame, ranges: Callable[[list[bytes]], Iterator[tuple[int, int]]], with_text: bool) -> DataFrame:
-    """key, first, last (lines), h and the text of each piece that ranges() names. docs: key, text."""
+    """key, first, last (lines), h and the text of each chunk. docs: key, text."""
     schema = f"{docs.select('key').schema.simpleString()[7:-1].replace('key:', 'key ', 1)}, first int, last int, h binary"
     schema += ", chunk binary" if with_text else ""
     types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
@@ -76,7 +64,7 @@ def _pieces(docs: DataFrame, ranges: Callable[[list[bytes]], Iterator[tuple[int,
                 lines = t.encode("utf-8", "surrogatepass").split(b"\n") if t else []
                 if len(lines) < 2:
                     continue
-                for start, end in ranges(lines):
+                for start, end in chunk_ranges(lines, window, spread):
                     chunk = b"\n".join(lines[start:end])
                     rows.append(k)
                     for v, x in zip(values, (start, end, xxhash.xxh3_128_digest(chunk), chunk), strict=False):
@@ -92,26 +80,19 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.alias("id"), F.xxhash64(text).alias("t"))
 
 
-def repeated_chunks(docs: DataFrame, *, window: int = 2, spread: int = 4) -> DataFrame:
-    """key, first, last: the line ranges to remove. docs: key, text."""
-    return _all_but_first(lambda with_text: _chunks(docs, window, spread, with_text))
-
-
-def repeated_pairs(docs: DataFrame) -> DataFrame:
-    """key, first, last: the line ranges to remove, which overlap by a line where a passage is longer than two. docs: key, text."""
-    return _all_but_first(lambda with_text: _pieces(docs, pair_ranges, with_text))
-
+def repeated_chunks(docs: DataFrame, *, window: int = 2, spread: int = 1) -> DataFrame:
+    """key, first, last: the line ranges to remove, which may overlap by a line. docs: key, text.
 
-def _all_but_first(pieces: Callable[[bool], DataFrame]) -> DataFrame:
-    """key, first, last of the pieces that equal an earlier one which they don't overlap. pieces(True) has the texts too."""
-    chunks = pieces(True)
+    These are the chunks that equal an earlier one which they don't overlap.
+    """
+    chunks = _chunks(docs, window, spread, True)
     place = F.struct("key", "first", "last")
     copy = ~(F.col("key").eqNullSafe(F.col("kept.key")) & (F.col("first") < F.col("kept.last")))
     groups = chunks.groupBy("h").agg(
         F.count("*").alias("n"), F.min(place).alias("kept"), F.min("chunk").alias("least"), F.max("chunk").alias("most")
     )
     groups = stored(groups.where("n > 1").select("h", "kept", (F.col("least") == F.col("most")).alias("same")))
-    small = pieces(False)
+    small = _chunks(docs, window, spread, False)
     gone = small.join(groups.where("same").drop("same"), "h").where(copy).select("key", "first", "last")
     clash = groups.where("not same").select("h")
     if clash.isEmpty():
@@ -122,31 +103,18 @@ def _all_but_first(pieces: Callable[[bool], DataFrame]) -> DataFrame:
     return gone.unionByName(more.select("key", "first", "last"))
 
 
-def dedupe_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = 2, spread: int = 4, keep: list[str] | None = None) -> DataFrame:
+def dedupe_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = 2, spread: int = 1, keep: list[str] | None = None) -> DataFrame:
     """(row, text, n_lines, n_removed) per document: the text without its repeated chunks.
 
     Of equal chunks the one in the least document (by id, then text hash; a null id comes first) and at the least line
     stays. A null text stays null and an empty one empty; a text of one line has no chunks. Rows that repeat an id and
     a text are one document: they get the same result, and none of them is the other's copy. Everything outside
-    removed chunks is kept byte by byte; a document whose every line is removed has an empty text.
+    removed chunks is kept byte by byte; a document whose every line is removed has an empty text. Texts count whole, however long; an
+    empty table gives no rows; kept columns may have any names.
     """
-    return _without(docs, lambda d: repeated_chunks(d, window=window, spread=spread), text, doc_id, keep)
-
-
-def dedupe_passages(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """(row, text, n_lines, n_removed) per document: the text without any passage that equals an earlier one.
-
-    A passage starts and ends with a line with words and has two such lines or more; its bytes count. Earlier is what lies in
-    a lesser document (by id, then text hash; a null id comes first) or further up in the same one without overlap. The first
-    occurrence of a line always stays. Rows and texts are treated as in dedupe_lines().
-    """
-    return _without(docs, repeated_pairs, text, doc_id, keep)
-
-
-def _without(docs: DataFrame, repeated: Callable[[DataFrame], DataFrame], text: str, doc_id: str, keep: list[str] | None) -> DataFrame:
     d = docs.select(packed(docs, keep).alias("row"), col(text).cast("string").alias("text"), col(doc_id).alias("id"))
     d = d.withColumn("key", _key(F.col("id"), F.col("text"))).drop("id")
-    gone = repeated(d).distinct()
+    gone = repeated_chunks(d, window=window, spread=spread).distinct()
     lists = gone.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
     lists = lists.select(F.col("key.id").alias("id"), F.col("key.t").alias("t"), F.array_sort("gone").alias("gone"))
     # where ranges overlap, the later one starts at the end of the one before
