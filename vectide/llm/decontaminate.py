@@ -6,8 +6,9 @@ necessary prefix. Words are ordered by their count over the whole corpus; only d
 hold some window's prefix word become candidates. The prefix word's place in the window and the window's
 length bound where the window would start and end; what lies there is compared exactly.
 
-The benchmark is cut into blocks of at most ``block_words`` words. Each block is small enough to be sent to
-every task, whatever the benchmark's size, and the documents, which never move, go past one block after the other.
+The benchmark is cut into blocks of about ``block_words`` words; a longer item into pieces that overlap by a window. Each block is small enough to be sent to
+every task, whatever the benchmark's size, and the documents, which never move, go past one block after the other. With more than one
+block their rows are numbered and written once; a block gives the hits of the documents that it meets, and these are joined by number.
 """
 
 from __future__ import annotations
@@ -15,9 +16,8 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import col, map_arrow, map_texts, packed, stored, words
 
@@ -56,17 +56,19 @@ def _index(items: list[tuple[str | None, list[bytes]]], size: int, counts: dict[
     return {k: sorted(v) for k, v in prefixes.items()}, dict(owners)
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int):
-    """Blocks of items with block_words words at most (one longer item makes a block of its own)."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int, window: int):
+    """Blocks of items with about block_words words at most."""
     held, n = [], 0
     rows = benchmark.select(col(item_id).cast("string").alias("id"), col(text).cast("string").alias("text"))
     for r in rows.toLocalIterator():
         w = words(r.text)
-        if held and n + len(w) > block_words:
-            yield held
-            held, n = [], 0
-        held.append((r.id, w))
-        n += len(w)
+        for at in range(0, max(1, len(w) - window + 1), block_words):
+            piece = w[at : at + block_words + window - 1]
+            if held and n + len(piece) > block_words:
+                yield held
+                held, n = [], 0
+            held.append((r.id, piece))
+            n += len(piece)
     if held:
         yield held
 
@@ -87,28 +89,46 @@ def find_contamination(
     res.n_words counts the words, res.spans lists disjoint word ranges [start, end) that lie in some
     occurrence of a window, res.items the sorted distinct ids (as strings) of the items with such windows.
     A null or empty text has no words and no hits; a null or empty item has no windows; an item without an
-    id marks spans but is not listed. Repeated rows are judged one by one and repeated items count once.
+    id marks spans but is not listed. Repeated rows are judged one by one and repeated items count once. Texts and items count whole,
+    however long; without documents there are no rows, without items no hits; kept columns may have any names.
     """
     spark = docs.sparkSession
-    src = docs.select(
-        packed(docs, keep).alias("row"),
-        col(text).cast("string").alias("text"),
-        F.lit(None).cast(T._parse_datatype_string(_RESULT)).alias("res"),
-    )
-    blocks = _blocks(benchmark, item_id, item_text, block_words)
-    block, k = next(blocks, []), 0
-    while block is not None:
-        after = next(blocks, None)
+    src = docs.select(packed(docs, keep).alias("row"), col(text).cast("string").alias("text"))
+    blocks = _blocks(benchmark, item_id, item_text, block_words, window)
+    block, after = next(blocks, []), next(blocks, None)
+
+    def judged(d: DataFrame, block: list, held: list[str]) -> DataFrame:
         vocabulary = frozenset(w for _, item in block for w in item)
-        counts = _counts(docs, text, vocabulary) if vocabulary else {}
+        counts = _counts(d, "text", vocabulary) if vocabulary else {}
         index = spark.sparkContext.broadcast(_index(block, window, counts))
-        if k:
-            src = stored(src)
-        held = ["row"] if after is None else ["row", "text"]
-        src = map_texts(src, {"t": F.col("text"), "before": F.col("res")}, _judge(index), _RESULT, keep=held)
-        src = src.select(*[col("row").getField(c).alias(c) for c in held], "res")
-        block, k = after, k + 1
-    return src
+        got = map_texts(d, {"t": F.col("text")}, _judge(index), _RESULT, keep=held)
+        return got.select(*[col("row").getField(c).alias(c) for c in held], "res")
+
+    if after is None:
+        return judged(src, block, ["row"])
+    src = stored(src.withColumn("number", F.monotonically_increasing_id()))
+    hits, lengths = None, None
+    while block is not None:
+        got = judged(src.select("number", "text"), block, ["number"])
+        got = stored(got) if lengths is None else stored(got.where(F.size("res.spans") > 0))
+        lengths = got.select("number", "res.n_words") if lengths is None else lengths
+        got = got.where(F.size("res.spans") > 0).select("number", "res.spans", "res.items")
+        hits = got if hits is None else hits.unionByName(got)
+        block, after = after, next(blocks, None)
+    hits = hits.groupBy("number").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    res = F.struct("n_words", _joined(F.col("spans")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return src.select("row", "number").join(lengths, "number").join(hits, "number", "left").select("row", res.alias("res"))
+
+
+def _joined(spans: Column) -> Column:
+    """Sorted spans with those that touch made one; none for null."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    last = lambda done: F.get(done, F.size(done) - 1)
+    longer = lambda done, x: F.struct(last(done)["start"].alias("start"), F.greatest(last(done)["end"], x["end"]).alias("end"))
+    step = lambda done, x: F.when(
+        (F.size(done) > 0) & (x["start"] <= F.get(done, F.size(done) - 1)["end"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer(done, x)))
+    ).otherwise(F.concat(done, F.array(x)))
+    return F.aggregate(F.coalesce(spans, none), none, step)
 
 
 def _judge(index):
@@ -117,7 +137,7 @@ def _judge(index):
 
         def judge(data: dict[str, list]) -> list[dict]:
             got = []
-            for t, before in zip(data["t"], data["before"], strict=True):
+            for t in data["t"]:
                 w = words(t)
                 n, starts, found = len(w), [], set()
                 for i in [i for i, x in enumerate(w) if x in prefixes]:
@@ -126,9 +146,6 @@ def _judge(index):
                         if 0 <= s <= n - size and (own := owners.get(b" ".join(w[s : s + size]))) is not None:
                             starts.append((s, s + size))
                             found |= own
-                if before:
-                    starts += [(x["start"], x["end"]) for x in before["spans"]]
-                    found.update(before["items"])
                 spans: list[dict] = []
                 for s, e in sorted(starts):
                     if spans and s <= spans[-1]["end"]:
