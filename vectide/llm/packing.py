@@ -133,7 +133,8 @@ def pack_documents(
     A document's tokens are the vocabulary's ids and then id 1; a null or empty text is just that id. Each
     token lies in exactly one piece. A row is a document of its own, also if its id is null or repeated.
     sequence_id holds the task's number in its upper bits, so it is unique, and a task that runs again
-    makes the same ids. No row is made for an empty table. Memory: one block of tokens and one Arrow batch.
+    makes the same ids. No row is made for an empty table. Memory: one block of tokens and one Arrow batch, and a very long text's own
+    tokens. Other columns play no part, whatever their names.
     """
     if context & (context - 1) or smallest & (smallest - 1) or not 64 <= smallest <= context:
         raise ValueError("context and smallest must be powers of two, 64 <= smallest <= context")

@@ -18,7 +18,8 @@ _RANGE = 4096
 def length_histogram(docs: DataFrame, *, text: str = "text", vocab: str | None = None) -> DataFrame:
     """length, n_docs: how many documents encode to so many tokens. Each task counts its own documents first.
 
-    A null text is no document; an empty one has length 0. Repeated rows count each time. An empty table gives no row.
+    A null text is no document; an empty one has length 0. Repeated rows count each time. An empty table gives no row. Texts count
+    whole, however long; other columns play no part, whatever their names.
     """
 
     def run(batches):
@@ -69,16 +70,16 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     )
 
 
-def truncated_total(histogram: DataFrame, limit: int) -> DataFrame:
-    """docs, tokens, truncated_tokens and cut_docs at any limit, also one that is no document's length."""
-    n, d = F.col("length"), F.col("n_docs")
-    z = F.lit(0).cast("long")
-    return histogram.agg(
-        F.coalesce(F.sum(d), z).alias("docs"),
-        F.coalesce(F.sum(n * d), z).alias("tokens"),
-        F.coalesce(F.sum(F.least(n, F.lit(limit).cast("long")) * d), z).alias("truncated_tokens"),
-        F.coalesce(F.sum(F.when(n > limit, d)), z).alias("cut_docs"),
-    )
+def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
+    """docs, tokens, truncated_tokens and cut_docs at any limit, also one that is no document's length, from the suffix sums.
+
+    The shortest length above the limit tells how many documents are cut and how many tokens these have; the shortest of all, the totals.
+    """
+    z, at = F.lit(0).cast("long"), F.struct("docs_ge", "tokens_ge")
+    got = sums.agg(F.min_by(at, "length").alias("all"), F.min_by(at, F.when(F.col("length") > limit, F.col("length"))).alias("cut"))
+    docs, tokens, cut = F.coalesce("all.docs_ge", z), F.coalesce("all.tokens_ge", z), F.coalesce("cut.docs_ge", z)
+    whole = tokens - F.coalesce("cut.tokens_ge", z)
+    return got.select(docs.alias("docs"), tokens.alias("tokens"), (whole + cut * F.lit(limit)).alias("truncated_tokens"), cut.alias("cut_docs"))
 
 
 def length_quantile(sums: DataFrame, share: float) -> DataFrame:
