@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from vectide.llm.common import stored
+from vectide.llm.common import dropped, shared_dir, until_written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated passages of two or more lines; one that had words and has none left is dropped. n_chars follows the text.
     Null and empty texts stay as they are; equal rows are one document. An empty table gives no rows, and extra columns stay."""
-    got = line_dedup.dedupe_passages(docs)
+    got = line_dedup.dedupe_lines(docs)
     bare = F.coalesce(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
     row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
@@ -72,10 +72,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    """All stages over documents; each result is written as Parquet and read again for the next, and goes when that one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        where = shared_dir(spark)
+        with until_written(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(where)
+        docs = spark.read.schema(made.schema).parquet(where)
+        if before is not None:
+            dropped(spark, before)
+        before = where
+    return STAGES[-1][1](spark, docs, sf_dir)

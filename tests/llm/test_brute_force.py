@@ -55,13 +55,13 @@ def test_token_counts(spark, documents, corpus):
         assert r.docs_ge == sum(x >= r.length for x in lengths) and r.docs_le == sum(x <= r.length for x in lengths)
         assert r.tokens_ge == sum(x for x in lengths if x >= r.length) and r.n_tokens == r.length * n[r.length]
         assert r.truncated_tokens == sum(min(x, r.length) for x in lengths)
-    for limit in (0, 1, 100, 10**6):
-        r = token_counts.truncated_total(h, limit).first()
+    for limit in (0, 1, 100, lengths[len(lengths) // 2] + 1, 10**6):
+        r = token_counts.truncated_total(sums, limit).first()
         assert (r.docs, r.tokens, r.truncated_tokens, r.cut_docs) == (len(lengths), sum(lengths), sum(min(x, limit) for x in lengths), sum(x > limit for x in lengths))
     for share in (0.01, 0.5, 1.0):
         assert token_counts.length_quantile(sums, share).first().length == lengths[math.ceil(share * len(lengths)) - 1]
     empty = token_counts.length_histogram(documents.where("false"))
-    assert token_counts.suffix_sums(empty).count() == 0 and token_counts.truncated_total(empty, 5).first().tokens == 0
+    assert token_counts.suffix_sums(empty).count() == 0 and token_counts.truncated_total(token_counts.suffix_sums(empty), 5).first().tokens == 0
 
 
 def test_encoder_equals_the_vocabulary_file():
@@ -272,7 +272,7 @@ def test_quality_verdicts(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     lab = spark.createDataFrame(labels, "doc_id long, quality int")
     got = {r.row.doc_id: r for r in quality.judge_quality(d, lab, buckets=1 << 10).collect()}
-    fit = {r.id for r in quality._sample(lab, "doc_id", "quality", 20_000).where("good and fit").collect()}
+    fit = {r.id for r in quality._labelled(lab, "doc_id", "quality").where("good and fit").collect()}
     assert 5 < len(fit) < 25
     want = brute_scores(docs, fit, 1 << 10)
     assert all(abs(got[i].score - s) < 1e-9 for (i, _), s in zip(docs, want, strict=True))
@@ -284,24 +284,28 @@ def test_quality_verdicts(spark):
 
 # 7 -----------------------------------------------------------------------------------------------------------
 def brute_lines(corpus, window=2, spread=4):
+    """Chunk by chunk, with the polynomial of each window summed anew."""
     import xxhash
 
+    base = 0x9E3779B97F4A7C15
     key = lambda i, t: (-(1 << 62) if i is None else i, xxhash.xxh64_intdigest((t or "").encode(), 42))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     docs = {(k[0], signed(k[1])): t for i, t in corpus if t is not None for k in [key(i, t)]}
     chunks = defaultdict(list)
     for k, t in sorted(docs.items()):
-        lines, start = t.encode().split(b"\n"), 0
-        if len(lines) < 2:
-            continue
-        for end in line_dedup.chunk_bounds(lines, window, spread):
-            if sum(bool(x.strip()) for x in lines[start:end]) > 1:
-                chunks[b"\n".join(lines[start:end])].append((k, start, end))
-            start = end
+        lines = t.encode().split(b"\n")
+        full = [i for i, x in enumerate(lines) if x.strip()]
+        h = [xxhash.xxh3_64_intdigest(lines[i]) for i in full]
+        roll = [sum(x * base ** (n - m) for m, x in enumerate(h[: n + 1]) if n - m < window) % (1 << 64) for n in range(len(h))]
+        ends = sorted({*full[:1], *full[-1:], *(i for i, r in zip(full, roll, strict=True) if (r >> 32) % spread == 0)})
+        for a, b in zip(ends, ends[1:], strict=False):
+            chunks[b"\n".join(lines[a : b + 1])].append((k, a, b + 1))
     gone = defaultdict(set)
     for at in chunks.values():
-        for k, a, b in sorted(at)[1:]:
-            gone[k].update(range(a, b))
+        first = min(at)
+        for k, a, b in at:
+            if k != first[0] or a >= first[2]:
+                gone[k].update(range(a, b))
     out = []
     for i, t in corpus:
         k = key(i, t)
@@ -310,9 +314,10 @@ def brute_lines(corpus, window=2, spread=4):
     return out
 
 
-def test_line_dedup(documents, corpus):
-    got = line_dedup.dedupe_lines(documents, keep=["doc_id"]).collect()
-    want = brute_lines(corpus)
+@pytest.mark.parametrize(("window", "spread"), [(2, 1), (2, 4), (3, 2)])
+def test_line_dedup(documents, corpus, window, spread):
+    got = line_dedup.dedupe_lines(documents, keep=["doc_id"], window=window, spread=spread).collect()
+    want = brute_lines(corpus, window, spread)
     assert sum(x[2] > 0 for x in want) > 5
     assert Counter((r.row.doc_id, r.text, r.n_removed) for r in got) == Counter(want)
     assert line_dedup.dedupe_lines(documents.where("false")).count() == 0
@@ -329,9 +334,31 @@ def test_line_dedup_compares_bytes(documents, corpus, monkeypatch):
 
 def test_chunks_resynchronise():
     lines = [f"line {i}".encode() for i in range(300)]
-    a = line_dedup.chunk_bounds(lines, 2, 4)
-    b = line_dedup.chunk_bounds([b"one", b"more", b"start", *lines], 2, 4)
-    assert [x + 3 for x in a if x > 2] == [x for x in b if x > 5]
+    for spread in (1, 4):
+        a = line_dedup.boundaries(lines, 2, spread)
+        b = line_dedup.boundaries([b"one", b"more", b"", b"start", *lines], 2, spread)
+        assert [x + 4 for x in a if x > 2] == [x for x in b if x > 6]
+
+
+def test_recall_by_passage_length():
+    """A passage in two otherwise unrelated texts: the share of its lines that lie in chunks common to both."""
+    import random
+
+    rng, share = random.Random(3), {}
+    new = lambda n: [f"{rng.random()} {rng.random()}".encode() for _ in range(n)]
+    for spread in (1, 2, 4):
+        for n in (2, 4, 8, 16, 32):
+            found = 0
+            for _ in range(200):
+                passage, sets = new(n), []
+                for _ in range(2):
+                    lines = [*new(5), *passage, *new(5)]
+                    sets.append({b"\n".join(lines[a:b]): (a - 5, b - 5) for a, b in line_dedup.chunk_ranges(lines, 2, spread)})
+                found += len({i for c in sets[0].keys() & sets[1].keys() for i in range(*sets[0][c])})
+            share[spread, n] = found / 200 / n
+    assert all(share[1, n] == 1.0 for n in (2, 4, 8, 16, 32))
+    assert share[4, 4] < share[2, 4] < 0.6 and share[4, 32] > 0.7 and share[2, 32] > 0.85
+    print({k: round(v, 2) for k, v in share.items()})
 
 
 # 8 -----------------------------------------------------------------------------------------------------------

@@ -50,11 +50,11 @@ def test_repeated_passages(spark, documents, corpus):
     few += [(210, "a\na\na"), (211, "a\na\na\na\na"), (212, "x\n\n \ny\n\nx\n\n \ny"), (213, "x\n\ny\nz"), (214, "z\n\n\nown\nx"), (215, "\n\n")]
     few += [(None, "\n".join(["null", *shared[6:8]])), (-5, "\n".join([*shared[8:10], "less"]))] * 2
     for d, docs in ((spark.createDataFrame(few, "doc_id long, text string").repartition(3), few), (documents, corpus)):
-        got = line_dedup.dedupe_passages(d, keep=["doc_id"]).collect()
+        got = line_dedup.dedupe_lines(d, keep=["doc_id"]).collect()
         want = brute_passages(docs)
         assert Counter((r.row.doc_id, r.text, r.n_removed) for r in got) == want
         assert sum(x[2] > 0 for x in want) > 5
-    assert line_dedup.dedupe_passages(documents.where("false")).count() == 0
+    assert line_dedup.dedupe_lines(documents.where("false")).count() == 0
 
 
 def test_passages_of_two_lines_go_from_the_query(spark, tmp_path):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +38,12 @@ def packed(df: DataFrame, keep: Iterable[str] | None = None) -> Column:
     return F.struct(*[col(c).alias(c) for c in (df.columns if keep is None else keep)])
 
 
-def flat(df: DataFrame, result: str = "res", row: str = "row") -> DataFrame:
-    """The kept columns beside the result's fields; of two columns with one name the result's stays."""
-    fields = {f.name.lower() for f in df.schema[result].dataType.fields}
-    kept = [f.name for f in df.schema[row].dataType.fields if f.name.lower() not in fields]
-    return df.select(*[col(row).getField(c).alias(c) for c in kept], f"{result}.*")
-
-
 #: Bytes of an Arrow batch, so that long texts make batches of fewer rows and not larger ones.
 _BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow() in batches of bounded size; a bound that the session has set stays."""
+    """df.mapInArrow() in batches of bounded size. The bound is a setting of the session, read when the plan runs, so it stays; one that is set already is kept."""
     spark = df.sparkSession
     if not spark._jsparkSession.sessionState().conf().contains(_BATCH):
         spark.conf.set(_BATCH, _BATCH_BYTES)
@@ -79,21 +73,39 @@ def map_texts(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """A new folder in the shared one that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file:///tmp/vectide-shared"
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/vectide-{uuid.uuid4().hex}"
 
 
+#: Folders written while a result is made that is about to be written itself; see until_written().
+_MADE: list[list[str]] = []
+
+
 def stored(df: DataFrame, where: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: the lineage ends there, and a lost executor costs no recomputation."""
     where = where or shared_dir(df.sparkSession)
     df.write.mode("overwrite").parquet(where)
+    if _MADE:
+        _MADE[-1].append(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+@contextmanager
+def until_written(spark: SparkSession) -> Iterator[None]:
+    """What stored() writes in this block goes at its end, by when the result that reads it must have been written."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for where in _MADE.pop():
+            dropped(spark, where)
+
+
 def dropped(spark: SparkSession, where: str) -> None:
     """Removes a folder that stored() or an archive writer has made."""
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
