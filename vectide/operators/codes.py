@@ -230,19 +230,26 @@ class Coding:
         names = [c for c in rows.columns if c != "embedding"]
         schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", codes binary, scale double"
 
+        width = self.bits * self.dim // 8
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                good = [i for i, v in enumerate(b.column("embedding").to_pylist()) if v is not None and len(v) == self.dim and None not in v and np.isfinite(v).all()]
-                x = b.column("embedding").take(pa.array(good, pa.int64())).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), self.dim)
+                e = b.column("embedding")
+                if "ok" in names:  # whether the row has dim finite coordinates, where the plan has told already
+                    good = np.flatnonzero(b.column("ok").to_numpy(zero_copy_only=False))
+                else:
+                    good = np.array([i for i, v in enumerate(e.to_pylist()) if v is not None and len(v) == self.dim and None not in v and np.isfinite(v).all()], dtype=np.int64)
+                x = (e if len(good) == len(e) else e.take(pa.array(good))).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), self.dim)
                 codes, scale = self.codes_of(x)
                 planes = (codes[:, None, :] >> np.arange(self.bits, dtype=np.uint8)[None, :, None]) & 1
-                data = np.packbits(planes, axis=2, bitorder="little").reshape(len(good), self.bits * self.dim // 8)
-                packed: list[bytes | None] = [None] * b.num_rows
-                for i, row in zip(good, data, strict=True):
-                    packed[i] = row.tobytes()
-                scales = np.zeros(b.num_rows)
-                scales[good] = scale
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(packed, pa.binary()), pa.array(scales)], names=[*names, "codes", "scale"])
+                data, scales = np.zeros((len(e), width), dtype=np.uint8), np.zeros(len(e))
+                data[good], scales[good] = np.packbits(planes, axis=2, bitorder="little").reshape(len(good), width), scale
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(e), [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())
+                if len(good) < len(e):
+                    bad = np.ones(len(e), dtype=bool)
+                    bad[good] = False
+                    packed = pa.array(packed.to_pylist(), pa.binary(), mask=bad)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], packed, pa.array(scales)], names=[*names, "codes", "scale"])
 
         return rows.mapInArrow(run, schema)
 
@@ -253,7 +260,10 @@ class Coding:
             if e.null_count or e.values.null_count or len(e.flatten()) != batch.num_rows * self.dim:
                 raise ValueError(f"a row doesn't have {self.dim} coordinates")
             return e.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, self.dim)
-        data = np.frombuffer(b"".join(batch.column("codes").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, self.bits, self.dim // 8)
+        width = self.bits * self.dim // 8
+        fixed = batch.column("codes").cast(pa.binary(width))
+        data = np.frombuffer(fixed.buffers()[1], dtype=np.uint8, count=len(fixed) * width, offset=fixed.offset * width) if len(fixed) else np.zeros(0, np.uint8)
+        data = data.reshape(batch.num_rows, self.bits, self.dim // 8)
         planes = np.unpackbits(data, axis=2, bitorder="little")
         codes = np.zeros((batch.num_rows, self.dim), dtype=np.uint8)
         for i in range(self.bits):
