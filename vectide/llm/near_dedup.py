@@ -389,15 +389,14 @@ def near_duplicate_classes(
     earlier (text, before): other texts that documents with this text once had, before lines were cut from them. A
     text and what it was before are in one group.
     """
-    d = _keyed(docs, text, doc_id)
-    same = None
-    if earlier is not None:
-        old = earlier.select(_key_of(F.col("text")).alias("a"), _key_of(F.col("before")).alias("b"), _text_of(F.col("before")).alias("t")).where("a <> b")
-        same = old.select("a", "b").distinct()
-        d = d.select("key", "id", "text", F.lit(True).alias("now")).unionByName(
-            old.select(F.col("b").alias("key"), F.lit(None).cast(d.schema["id"].dataType).alias("id"), F.col("t").alias("text"), F.lit(False).alias("now"))
-        )
+    d, same = _keyed(docs, text, doc_id), None
     with Scratch(docs.sparkSession) as scratch:
+        if earlier is not None:
+            old = earlier.select(_key_of(F.col("text")).alias("a"), _key_of(F.col("before")).alias("b"), _text_of(F.col("before")).alias("t"))
+            old = scratch.keep(old.where("a <> b").groupBy("a", "b").agg(F.min("t").alias("t")))
+            same = old.select("a", "b")
+            before = old.select(F.col("b").alias("key"), F.lit(None).cast(d.schema["id"].dataType).alias("id"), F.col("t").alias("text"))
+            d = d.withColumn("now", F.lit(True)).unionByName(before.withColumn("now", F.lit(False)))
         out = _grouped(d, similarity, functions, least, scratch, same)
         if same is not None:
             out = out.join(d.where("now").select("key").distinct(), "key", "left_semi")
