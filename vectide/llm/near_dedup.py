@@ -196,12 +196,28 @@ def _classes(docs: DataFrame, functions: int, least: int) -> DataFrame:
     return rows.groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
 
 
-def _shared(band: DataFrame) -> DataFrame:
-    """Those of the rows (key, n, s) whose s some other row has too. They are sorted by s, so a task holds one batch and one row."""
+def _shared(band: DataFrame, similarity: float) -> DataFrame:
+    """Those of the rows (key, n, s, c) whose s some other row has too, with head: an earlier text of the bucket that can be near, or null.
+
+    Rows are sorted by s and key. A task holds one batch, one row and the first text of each length class of the present s; that is the head of
+    the class and of the one before, whose texts it may be near to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: pa.RecordBatch | None = None  # the last row so far, and whether the one before had its s
-        met = False
+        met, now, heads = False, None, {}
+
+        def headed(b: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal now, heads
+            out = []
+            for key, n, s, c in zip(*(b.column(x).to_pylist() for x in ("key", "n", "s", "c")), strict=True):
+                if s != now:
+                    now, heads = s, {}
+                found = next((heads[k] for k in (c, c - 1, c + 1) if k in heads and min(n, heads[k][1]) >= similarity * max(n, heads[k][1])), None)
+                out.append(found and found[0])
+                heads.setdefault(c, (key, n))
+            return pa.RecordBatch.from_arrays([*(b.column(x) for x in ("key", "n", "s", "c")), pa.array(out, pa.binary())], names=["key", "n", "s", "c", "head"])
+
         for b in batches:
             if not b.num_rows:
                 continue
@@ -212,13 +228,13 @@ def _shared(band: DataFrame) -> DataFrame:
                 same = last.column("s")[0].as_py() == int(s[0])
                 ok[0] |= same
                 if met or same:
-                    yield last
-            yield b.slice(0, b.num_rows - 1).filter(pa.array(ok[:-1]))
+                    yield headed(last)
+            yield headed(b.slice(0, b.num_rows - 1).filter(pa.array(ok[:-1])))
             last, met = b.slice(b.num_rows - 1), bool(ok[-1])
         if last is not None and met:
-            yield last
+            yield headed(last)
 
-    return map_arrow(band.repartition("s").sortWithinPartitions("s"), run, "key binary, n bigint, s bigint")
+    return map_arrow(band.repartition("s").sortWithinPartitions("s", "key"), run, "key binary, n bigint, s bigint, c int, head binary")
 
 
 def word_bag(hashes: np.ndarray) -> np.ndarray:
@@ -275,20 +291,34 @@ def possible_pairs(n: np.ndarray, bags: list[bytes], groups: np.ndarray, home: n
     return np.minimum(x[i], y[j]), np.maximum(x[i], y[j]), apart[i, j]
 
 
+def _mixed(m: DataFrame) -> DataFrame:
+    """Those of the members (key, n, s, c, home, r) whose bucket holds more than one group, with the bucket's greatest group (top) and into how many
+    blocks the others and how many lots that one are dealt. Of buckets with the same members one is kept."""
+    held = [F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)]  # tells buckets of other members apart
+    group = m.groupBy("s", "c", "r").agg(F.count("*").alias("n"), F.max("home").alias("any"), *held)
+    size = group.groupBy("s", "c").agg(
+        F.sum("n").alias("all"), F.max(F.struct("n", "r")).alias("top"), F.max("any").alias("any"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1")
+    )
+    size = size.where((F.col("all") > F.col("top.n")) & F.col("any"))
+    blocks = lambda n: F.ceil(n / _BLOCK).cast("int")
+    few = F.col("all") <= _BLOCK  # these all meet in one row
+    dealt = (
+        F.when(few, 1).otherwise(blocks(F.col("all") - F.col("top.n"))).alias("blocks"),
+        F.when(few, 0).otherwise(blocks(F.col("top.n"))).alias("lots"),
+        F.col("top.r").alias("top"),
+    )
+    size = size.groupBy("c", "all", "h0", "h1").agg(F.min(F.struct("s", *dealt)).alias("x")).select("c", "x.*")
+    return m.join(size, ["s", "c"])
+
+
 def _possible(members: DataFrame, similarity: float) -> DataFrame:
-    """a, b (a < b), ra, rb, apart: the pairs within a bucket that can be similar and aren't connected, once a bucket. members: s, c, home, key, n, r, bag.
+    """a, b (a < b), ra, rb, apart: the pairs within a bucket that can be similar and aren't connected, once a bucket. members: s, c, home, key, n, r, bag, blocks, lots, top.
 
     Most members of a bucket are often connected already. These (the greatest group) only meet the others, which meet each
     other too. The others are dealt into blocks by hash; two blocks or one and a lot of the greatest group meet in one row.
     """
     by = ["s", "c"]
-    group = members.groupBy(*by, "r").agg(F.count("*").alias("n"))
-    size = group.groupBy(*by).agg(F.sum("n").alias("all"), F.max(F.struct("n", "r")).alias("top"))
-    blocks = lambda n: F.ceil(n / _BLOCK).cast("int")
-    few = F.col("all") <= _BLOCK  # these all meet in one row
-    lots = F.when(few, 0).otherwise(blocks(F.col("top.n"))).alias("lots")
-    size = size.select(*by, F.when(few, 1).otherwise(blocks(F.col("all") - F.col("top.n"))).alias("blocks"), lots, F.col("top.r").alias("top"))
-    d = members.join(size, by).withColumn("big", (F.col("r") == F.col("top")) & (F.col("lots") > 0))
+    d = members.withColumn("big", (F.col("r") == F.col("top")) & (F.col("lots") > 0))
     deal = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     d = d.withColumn("own", F.when(F.col("big"), F.col("blocks") + deal(F.greatest("lots", F.lit(1)))).otherwise(deal(F.col("blocks"))))
     # each row of a small block meets all small blocks and all lots, each row of a lot the small blocks
@@ -408,18 +438,14 @@ def _grouped(d: DataFrame, similarity: float, functions: int, least: int, scratc
     """key, id, n, root of each distinct text of d (key, id, text). same: links (a, b) that are known."""
     keep, narrow = scratch.keep, scratch.keep_narrow
     classes = keep(_classes(d.select("key", "id", "text"), functions, least))
-    band = keep(_shared(classes.where("n > 0").select("key", "n", F.explode("sketch").alias("s"))))
-    # buckets by length: a text is in its own class (at home) and in the next, so that any two of near lengths meet
     own = F.floor(F.log("n") / -math.log(max(similarity, 1e-9) * 0.999)).cast("int")
-    spots = F.explode(F.array(*[F.struct((own + k).alias("c"), F.lit(k == 0).alias("home")) for k in (0, 1)]))
-    met = band.select("key", "n", "s", spots.alias("x")).select("key", "n", "s", "x.*")
-
-    head = met.groupBy("s", "c").agg(F.count("*").alias("m"), F.max("home").alias("any"), F.min(F.struct("key", "n")).alias("head")).where("m > 1 and any")
-    pairs = met.join(head.select("s", "c", "head"), ["s", "c"]).where("key <> head.key")
-    pairs = pairs.where(F.least("n", "head.n") >= similarity * F.greatest("n", "head.n"))
-    tried = narrow(pairs.groupBy("key").agg(F.min("head.key").alias("a")).select("a", F.col("key").alias("b")))
+    rows = classes.where("n > 0").select("key", "n", own.alias("c"), F.explode("sketch").alias("s"))
+    band = keep(_shared(rows, similarity))
+    tried = narrow(band.where("head is not null").groupBy("key").agg(F.min("head").alias("a")).select("a", F.col("key").alias("b")))
+    # buckets by length: a text is in its own class (at home) and in the next, so that any two of near lengths meet
+    spots = F.explode(F.array(*[F.struct((F.col("c") + k).alias("c"), F.lit(k == 0).alias("home")) for k in (0, 1)]))
     # a table, whose size the planner knows before it shuffles any text
-    texts = d.select("key", "text").join(narrow(met.select("key").distinct()), "key", "left_semi")
+    texts = d.select("key", "text").join(narrow(band.select("key").distinct()), "key", "left_semi")
     texts = texts.groupBy("key").agg(F.min("text").alias("text")).join(tried.withColumnRenamed("b", "key"), "key", "left")
     texts = keep(texts)
     links = _linked(texts.where("a is not null").select("a", F.col("key").alias("b"), F.col("text").alias("tb")), texts, similarity)
@@ -431,11 +457,9 @@ def _grouped(d: DataFrame, similarity: float, functions: int, least: int, scratc
             p = p.drop(f"r{x}").join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
         return p.where("ra <> rb").join(tried, ["a", "b"], "left_anti")
 
-    m = met.join(roots.select(F.col("node").alias("key"), F.col("root").alias("r")), "key", "left").withColumn("r", F.coalesce("r", "key"))
-    held = [F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)]  # tells buckets of other members apart
-    mixed = m.groupBy("s", "c").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.max("home").alias("any"), F.count("*").alias("m"), *held).where("r1 <> r2 and any")
-    mixed = mixed.groupBy("c", "m", "h0", "h1").agg(F.min("s").alias("s"))
-    left = keep(m.join(mixed.select("s", "c"), ["s", "c"]))
+    m = band.select("key", "n", "s", "c").join(roots.select(F.col("node").alias("key"), F.col("root").alias("r")), "key", "left").withColumn("r", F.coalesce("r", "key"))
+    apart_ = m.groupBy("s").agg(F.min("r").alias("r1"), F.max("r").alias("r2")).where("r1 <> r2").select("s")
+    left = keep(_mixed(m.join(apart_, "s").select("key", "n", "s", "r", spots.alias("x")).select("key", "n", "s", "r", "x.*")))
     if not left.isEmpty():
         bags = _bags(texts.join(left.select("key").distinct(), "key", "left_semi"))
         possible = _possible(left.join(bags, "key"), similarity).groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("ra", "rb", "apart")])
