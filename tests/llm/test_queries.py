@@ -35,8 +35,11 @@ def test_pipeline(spark, small):
     assert all(b <= a for a, b in zip(ids, ids[1:], strict=False)) and ids[5] == ids[4]
     verdicts = quality.judge_quality(docs, spark.read.parquet(f"{small}/labels.parquet"), keep=["doc_id"]).collect()
     assert ids[1] == {r.row.doc_id for r in verdicts if r.kept}
-    classes = {r.doc_id: r.class_id for r in near_dedup.label_near_duplicates(inputs[2]).collect()}
+    classes = {r.doc_id: r.class_id for r in near_dedup.label_near_duplicates(inputs[2], earlier=p._uncut(inputs[2], docs)).collect()}
     assert ids[3] == set(classes.values())
+    alone = {r.class_id for r in near_dedup.label_near_duplicates(inputs[2]).collect()}
+    whole = {r.doc_id: r.class_id for r in near_dedup.label_near_duplicates(docs).collect()}
+    assert ids[3] <= alone and len({whole[i] for i in ids[3]}) == len(ids[3])  # no two that were near before lines were cut
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
     assert ids[4] == {r.doc_id for r in decontaminate.contamination_report(inputs[3], bench).collect() if not r.contaminated}
     assert inputs[2].where("n_chars <> length(text)").count() == 0
