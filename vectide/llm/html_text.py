@@ -276,7 +276,8 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
     page = _mapped(src.select("host", "key", "html"), T._parse_datatype_string("host bigint, key binary, texts array<string>"), streams)
     one = page.groupBy("host", "key").agg(F.first("texts").alias("texts"))
     suffix = _mapped(one, T._parse_datatype_string("host bigint, key binary, h bigint"), suffixes)
-    shared = suffix.groupBy("host", "h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("host", "h")
+    # a page brings a run once and no two rows are of one page, so a count tells whether pages share it
+    shared = suffix.groupBy("host", "h").agg(F.count("*").alias("n")).where("n > 1").select("host", "h")
     runs = suffix.join(shared, ["host", "h"]).groupBy("host", "key").agg(F.collect_list("h").alias("runs"))
     told = src.join(runs, ["host", "key"], "left").select("page_id", "url", "html", "runs")
     out = _mapped(told, T.StructType([src.schema["page_id"], src.schema["url"], T.StructField("text", T.StringType())]), marked)
