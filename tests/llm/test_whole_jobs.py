@@ -10,9 +10,10 @@ import numpy as np
 import pytest
 import xxhash
 from llm_texts import lined, prose
+from pyspark.sql import functions as F
 from test_brute_force import brute_classes, plain_distance
 
-from vectide.llm import line_dedup, near_dedup
+from vectide.llm import line_dedup, near_dedup, quality
 
 
 # 7 -----------------------------------------------------------------------------------------------------------
@@ -141,3 +142,24 @@ def test_texts_before_a_cut_count_too(spark):
     assert ids(near_dedup.without_near_duplicates(docs)) == [0, 1, 2, 3]
     assert ids(near_dedup.without_near_duplicates(docs, earlier=earlier)) == [0, 1, 3]
     assert ids(near_dedup.without_near_duplicates(docs, earlier=earlier.where("false"))) == [0, 1, 2, 3]
+
+
+def test_every_label_of_its_half_sets_the_threshold(spark, monkeypatch):
+    n, seen = 42_000, []
+    threshold = quality.score_threshold
+    monkeypatch.setattr(quality, "score_threshold", lambda scored, **how: seen.append(scored.count()) or threshold(scored, **how))
+    docs = spark.range(n).selectExpr("id as doc_id", "repeat(concat('word', id % 7, ' '), 20) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(id % 10 > 0 as int) as quality")
+    half = quality._labelled(labels, "doc_id", "quality").where("not fit").count()
+    assert half > 20_000
+    assert quality.judge_quality(docs, labels, buckets=1 << 10).count() == n
+    assert seen == [half]
+    small = quality.judge_quality(docs.where("doc_id < 50").withColumn("doc_id", F.expr("cast(doc_id as int)")), labels, buckets=1 << 10)
+    assert small.count() == 50  # ids of another type than those of the labels
+    assert seen[1:] == [quality._labelled(labels, "doc_id", "quality").where("not fit and id < 50").count()]
+
+
+def test_plans_do_not_spell_out_the_weights(spark):
+    docs = spark.createDataFrame([(i, " ".join(["some", "words"] * 20)) for i in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    assert len(quality.judge_quality(docs, labels)._jdf.queryExecution().toString()) < 1_000_000

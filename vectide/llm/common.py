@@ -50,6 +50,17 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def doubles(spark: SparkSession, values: list[float]) -> Column:
+    """A literal array of doubles in Spark's own layout. Plans name it in a few characters; any other literal would write all its values
+    into every description of every plan that has it, megabytes each, which the driver keeps."""
+    jvm, data = spark._jvm, np.array(values, dtype=">f8").tobytes()
+    array = spark.sparkContext._gateway.new_array(jvm.double, len(values))
+    jvm.java.nio.ByteBuffer.wrap(data).asDoubleBuffer().get(array)
+    kind = spark._jsparkSession.parseDataType(T.ArrayType(T.DoubleType(), False).json())
+    literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(jvm.org.apache.spark.sql.catalyst.expressions.UnsafeArrayData.fromPrimitiveArray(array), kind)
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
+
+
 def map_texts(
     df: DataFrame,
     inputs: dict[str, Column],
