@@ -190,3 +190,16 @@ def test_captures_meet_the_entries_of_their_time(spark):
     got = url_filter.evaluate_captures(df, spark.createDataFrame(entries, ENTRY)).collect()
     assert Counter((r.page_id, r.n_active, r.rule, r.blocked) for r in got) == Counter((c[0], *c[3:]) for c in caps)
     assert url_filter.evaluate_captures(df.where("false"), spark.createDataFrame([], ENTRY)).count() == 0
+
+
+def test_packed_blocks_are_the_same_and_much_smaller(spark, small):
+    pages = [r.html or "" for r in spark.read.parquet(f"{small}/pages.parquet").select("html").collect()]
+    odd = ["", "<p></p>", "<p>a\u2028b\x85c\x1cd\r\ne", "<article><p>one<p>two &#10; three</article>"]
+    for page in [*pages, *odd]:
+        blocks = html_text.page_blocks(page)
+        assert html_text.unpacked_blocks(html_text.packed_blocks(blocks)) == blocks
+    size = sum(len(html_text.packed_blocks(html_text.page_blocks(x))) for x in pages)
+    assert size < 0.5 * sum(len(x.encode()) for x in pages)
+    plan = html_text.main_text(spark.read.parquet(f"{small}/pages.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join LeftOuter") :]
+    assert "blocks" in join and "html" not in join.split("MapInArrow")[0]

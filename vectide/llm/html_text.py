@@ -15,6 +15,7 @@ another declared part or all of it.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from html import unescape
 from itertools import groupby
@@ -181,6 +182,16 @@ def page_blocks(page: str) -> list[Block]:
     return blocks
 
 
+def packed_blocks(blocks: list[Block]) -> bytes:
+    """The blocks in few bytes. A block's text has no line ends, as all white space in it is single spaces."""
+    return zlib.compress("\n".join(f"{level}{kind}{text}" for level, kind, text in blocks).encode("utf-8", "surrogatepass"), 6)
+
+
+def unpacked_blocks(data: bytes) -> list[Block]:
+    text = zlib.decompress(data).decode("utf-8", "surrogatepass")
+    return [(int(x[0]), int(x[1]), x[2:]) for x in text.split("\n")] if text else []
+
+
 def stream_of(blocks: list[Block]) -> list[str]:
     """The texts of the page's token stream: all that isn't guarded."""
     return [text for _, kind, text in blocks if kind != GUARDED]
@@ -267,8 +278,11 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
         first = np.unique(found, return_index=True)[1]  # a run that a page repeats itself is brought once
         return [(r["host"], r["key"], int(found[i])) for i in first]
 
+    def parsed(r: dict) -> list[tuple]:
+        return [(r["page_id"], r["url"], r["host"], r["key"], packed_blocks(page_blocks(r["html"])))]
+
     def marked(r: dict) -> list[tuple]:
-        blocks, runs = page_blocks(r["html"]), set(r["runs"] or ())
+        blocks, runs = unpacked_blocks(r["blocks"]), set(r["runs"] or ())
         found = shingles(_stream(stream_of(blocks))[0], long).view(np.int64).tolist() if runs else []
         repeated = {i for i, h in enumerate(found) if h in runs}
         return [(r["page_id"], r["url"], "\n\n".join(article_of(blocks, repeated, long)))]
@@ -279,6 +293,9 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
     # a page brings a run once and no two rows are of one page, so a count tells whether pages share it
     shared = suffix.groupBy("host", "h").agg(F.count("*").alias("n")).where("n > 1").select("host", "h")
     runs = suffix.join(shared, ["host", "h"]).groupBy("host", "key").agg(F.collect_list("h").alias("runs"))
-    told = src.join(runs, ["host", "key"], "left").select("page_id", "url", "html", "runs")
+    # pages meet their runs as packed blocks, which are a fraction of their html
+    key = [T.StructField("host", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("blocks", T.BinaryType())]
+    blocks = _mapped(src, T.StructType([src.schema["page_id"], src.schema["url"], *key]), parsed)
+    told = blocks.join(runs.hint("merge"), ["host", "key"], "left").select("page_id", "url", "blocks", "runs")
     out = _mapped(told, T.StructType([src.schema["page_id"], src.schema["url"], T.StructField("text", T.StringType())]), marked)
     return out.withColumn("n_chars", F.length("text").cast("long"))
