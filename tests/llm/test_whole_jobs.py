@@ -163,3 +163,15 @@ def test_plans_do_not_spell_out_the_weights(spark):
     docs = spark.createDataFrame([(i, " ".join(["some", "words"] * 20)) for i in range(9)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
     assert len(quality.judge_quality(docs, labels)._jdf.queryExecution().toString()) < 1_000_000
+
+
+def test_of_two_groups_the_nearest_pair_leaves_a_bucket():
+    groups = np.array([0] * 40 + [1] * 40 + [2])
+    rng = np.random.default_rng(8)
+    bags = [near_dedup.word_bag(rng.integers(1, 1 << 60, 100).astype(np.uint64)).tobytes()] * len(groups)
+    n, home, side = np.full(len(groups), 100), np.ones(len(groups), dtype=bool), np.zeros(len(groups), dtype=np.int64)
+    pairs = near_dedup.possible_pairs(n, bags, groups, home, side, 0.8)
+    assert len(pairs[0]) == 40 * 40 + 2 * 40
+    i, j, _ = near_dedup.nearest_pairs(*pairs, groups)
+    assert sorted((int(groups[x]), int(groups[y])) for x, y in zip(i, j, strict=True)) == [(0, 1), (0, 2), (1, 2)]
+    assert [len(x) for x in near_dedup.nearest_pairs(*(np.zeros(0, dtype=np.int64),) * 3, groups)] == [0, 0, 0]

@@ -7,8 +7,8 @@ their order agrees too, which is what edits keep and shuffled text loses.
 
 Classes that share a sketch and are of near length meet in a bucket. Each is compared with one head of its buckets, which
 connects most of what is near. Buckets that still hold unconnected members are settled exactly: of each such pair
-whose lengths allow it, the words that only one of them holds bound the distance from below. Of the pairs left, the nearest of each two groups
-is aligned first, then all that are still unconnected. So no link between two members of a bucket is lost; a near pair that
+whose lengths allow it, the words that only one of them holds bound the distance from below. First only the nearest pair of each two groups
+leaves a bucket and is aligned; then, with the groups that this has joined, all pairs that are still unconnected. So no link between two members of a bucket is lost; a near pair that
 shares no bucket is. A pair is a near-duplicate if its word-level edit distance, within a band that the threshold
 sets, leaves a similarity of ``similarity`` or more. Groups are the connected components of these links.
 """
@@ -258,14 +258,14 @@ def common_cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _bags(texts: DataFrame) -> DataFrame:
-    """key, bag of each of the texts (key, text)."""
+    """key, text, bag of each of the texts (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bags = [word_bag(word_hashes(t)).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(bags, pa.binary())], names=["key", "bag"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("text"), pa.array(bags, pa.binary())], names=["key", "text", "bag"])
 
-    return map_arrow(texts.select("key", "text"), run, "key binary, bag binary")
+    return map_arrow(texts.select("key", "text"), run, "key binary, text string, bag binary")
 
 
 def possible_pairs(n: np.ndarray, bags: list[bytes], groups: np.ndarray, home: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,6 +291,14 @@ def possible_pairs(n: np.ndarray, bags: list[bytes], groups: np.ndarray, home: n
     return np.minimum(x[i], y[j]), np.maximum(x[i], y[j]), apart[i, j]
 
 
+def nearest_pairs(i: np.ndarray, j: np.ndarray, apart: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs that are the nearest of their two groups, one for each two."""
+    x, y = np.minimum(groups[i], groups[j]), np.maximum(groups[i], groups[j])
+    order = np.lexsort((apart, y, x))
+    first = order[np.r_[True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)]] if len(order) else order
+    return i[first], j[first], apart[first]
+
+
 def _mixed(m: DataFrame) -> DataFrame:
     """Those of the members (key, n, s, c, home, r) whose bucket holds more than one group, with the bucket's greatest group (top) and into how many
     blocks the others and how many lots that one are dealt. Of buckets with the same members one is kept."""
@@ -311,8 +319,9 @@ def _mixed(m: DataFrame) -> DataFrame:
     return m.join(size, ["s", "c"])
 
 
-def _possible(members: DataFrame, similarity: float) -> DataFrame:
+def _possible(members: DataFrame, similarity: float, nearest: bool) -> DataFrame:
     """a, b (a < b), ra, rb, apart: the pairs within a bucket that can be similar and aren't connected, once a bucket. members: s, c, home, key, n, r, bag, blocks, lots, top.
+    nearest: only one pair of each two groups that meet.
 
     Most members of a bucket are often connected already. These (the greatest group) only meet the others, which meet each
     other too. The others are dealt into blocks by hash; two blocks or one and a lot of the greatest group meet in one row.
@@ -340,7 +349,8 @@ def _possible(members: DataFrame, similarity: float) -> DataFrame:
                 number = {r: k for k, r in enumerate(sorted(set(roots)))}
                 groups = np.array([number[r] for r in roots])
                 n, home, side = (get(c).to_numpy(zero_copy_only=False) for c in ("n", "home", "side"))
-                for i, j, apart in zip(*possible_pairs(n, get("bag").to_pylist(), groups, home, side, similarity), strict=True):
+                pairs = possible_pairs(n, get("bag").to_pylist(), groups, home, side, similarity)
+                for i, j, apart in zip(*(nearest_pairs(*pairs, groups) if nearest else pairs), strict=True):
                     x, y = (i, j) if keys[i] < keys[j] else (j, i)
                     rows.append((keys[x], keys[y], roots[x], roots[y], int(apart)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -372,8 +382,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         own = texts.select(F.col("key").alias(x), F.col("text").alias(f"t{x}")).join(hubs, x, "left")
         own = own.withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1))).drop("lots")
         p = p.join(hubs, x, "left").withColumn("lot", F.pmod(F.xxhash64(other), F.coalesce("lots", F.lit(1))).cast("int")).drop("lots")
-        # the last join deals by lot, as a broadcast of few pairs would leave them where their texts happen to lie
-        return p.join(own.hint("merge") if x == "a" else own, [x, "lot"]).drop("lot")
+        # dealt by lot at any size, as a broadcast of few pairs would leave them where their texts happen to lie
+        return p.join(own.hint("merge"), [x, "lot"]).drop("lot")
 
     met = pairs if "tb" in pairs.columns else with_text(pairs.select("a", "b"), "b", "a")
     return map_arrow(with_text(met, "a", "b").select("a", "b", "ta", "tb"), run, "a binary, b binary")
@@ -444,34 +454,37 @@ def _grouped(d: DataFrame, similarity: float, functions: int, least: int, scratc
     tried = narrow(band.where("head is not null").groupBy("key").agg(F.min("head").alias("a")).select("a", F.col("key").alias("b")))
     # buckets by length: a text is in its own class (at home) and in the next, so that any two of near lengths meet
     spots = F.explode(F.array(*[F.struct((F.col("c") + k).alias("c"), F.lit(k == 0).alias("home")) for k in (0, 1)]))
-    # a table, whose size the planner knows before it shuffles any text
-    texts = d.select("key", "text").join(narrow(band.select("key").distinct()), "key", "left_semi")
-    texts = texts.groupBy("key").agg(F.min("text").alias("text")).join(tried.withColumnRenamed("b", "key"), "key", "left")
-    texts = keep(texts)
-    links = _linked(texts.where("a is not null").select("a", F.col("key").alias("b"), F.col("text").alias("tb")), texts, similarity)
+    # a text is shuffled once to learn all of this, whatever the size of the tables it meets
+    heads = tried.select(F.col("a").alias("key"), F.lit(True).alias("is_head")).distinct()
+    texts = d.select("key", "text").join(narrow(band.select("key").distinct()).hint("merge"), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.min("text").alias("text")).join(tried.withColumnRenamed("b", "key").hint("merge"), "key", "left")
+    texts = keep(texts.join(heads.hint("merge"), "key", "left"))
+    links = _linked(texts.where("a is not null").select("a", F.col("key").alias("b"), F.col("text").alias("tb")), texts.where("is_head"), similarity)
     roots = components(links if same is None else links.unionByName(same), keep=narrow)
 
-    def apart(p: DataFrame) -> DataFrame:
-        """Pairs that are neither connected yet nor compared before."""
-        for x in ("a", "b"):
-            p = p.drop(f"r{x}").join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
-        return p.where("ra <> rb").join(tried, ["a", "b"], "left_anti")
-
-    m = band.select("key", "n", "s", "c").join(roots.select(F.col("node").alias("key"), F.col("root").alias("r")), "key", "left").withColumn("r", F.coalesce("r", "key"))
-    apart_ = m.groupBy("s").agg(F.min("r").alias("r1"), F.max("r").alias("r2")).where("r1 <> r2").select("s")
-    left = keep(_mixed(m.join(apart_, "s").select("key", "n", "s", "r", spots.alias("x")).select("key", "n", "s", "r", "x.*")))
-    if not left.isEmpty():
-        bags = _bags(texts.join(left.select("key").distinct(), "key", "left_semi"))
-        possible = _possible(left.join(bags, "key"), similarity).groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("ra", "rb", "apart")])
-        possible = keep(possible.join(tried, ["a", "b"], "left_anti"))
-        # of each two groups the nearest pair first, as it may make the others needless
-        first = possible.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min(F.struct("apart", "a", "b")).alias("p"))
-        for round_ in (lambda: first.select("p.a", "p.b"), lambda: apart(possible).select("a", "b")):
-            more = narrow(round_())
-            if more.isEmpty():
-                break
-            roots = components(_linked(more, texts, similarity), roots, narrow)
-            tried = tried.unionByName(more)
+    def rooted(m: DataFrame) -> DataFrame:
+        return m.join(roots.select(F.col("node").alias("key"), F.col("root").alias("r")), "key", "left").withColumn("r", F.coalesce("r", "key"))
+
+    m = rooted(band.select("key", "n", "s", "c"))
+    apart = m.groupBy("s").agg(F.min("r").alias("r1"), F.max("r").alias("r2")).where("r1 <> r2").select("s")
+    left, near = keep(_mixed(m.join(apart, "s").select("key", "n", "s", "r", spots.alias("x")).select("key", "n", "s", "r", "x.*"))), None
+    for nearest in (True, False):
+        if left.isEmpty():
+            break
+        if near is None:  # only these texts are needed from here on, as groups only grow
+            near = keep(_bags(texts.join(left.select("key").distinct().hint("merge"), "key", "left_semi")))
+        possible = _possible(left.join(near.select("key", "bag"), "key"), similarity, nearest).groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("ra", "rb", "apart")])
+        possible = possible.join(tried, ["a", "b"], "left_anti")
+        if nearest:  # as one link makes all other pairs of its two groups needless
+            two = (F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
+            possible = possible.groupBy(*two).agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
+        more = narrow(possible.select("a", "b"))
+        if more.isEmpty():
+            continue
+        roots = components(_linked(more, near, similarity), roots, narrow)
+        tried = tried.unionByName(more)
+        if nearest:
+            left = keep(_mixed(rooted(left.select("key", "n", "s", "c", "home"))))
     out = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     return out.select("key", "id", "n", "root")
 
