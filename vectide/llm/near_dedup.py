@@ -300,8 +300,8 @@ def nearest_pairs(i: np.ndarray, j: np.ndarray, apart: np.ndarray, groups: np.nd
 
 
 def _mixed(m: DataFrame) -> DataFrame:
-    """Those of the members (key, n, s, c, home, r) whose bucket holds more than one group, with the bucket's greatest group (top) and into how many
-    blocks the others and how many lots that one are dealt. Of buckets with the same members one is kept."""
+    """Those of the members (key, n, s, c, home, r) whose bucket holds more than one group, with whether they are of the bucket's greatest group (big) and into
+    how many blocks the others and how many lots that one are dealt; a bucket of one block has no such group. Of buckets with the same members one is kept."""
     held = [F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)]  # tells buckets of other members apart
     group = m.groupBy("s", "c", "r").agg(F.count("*").alias("n"), F.max("home").alias("any"), *held)
     size = group.groupBy("s", "c").agg(
@@ -316,20 +316,19 @@ def _mixed(m: DataFrame) -> DataFrame:
         F.col("top.r").alias("top"),
     )
     size = size.groupBy("c", "all", "h0", "h1").agg(F.min(F.struct("s", *dealt)).alias("x")).select("c", "x.*")
-    return m.join(size, ["s", "c"])
+    return m.join(size, ["s", "c"]).withColumn("big", (F.col("r") == F.col("top")) & (F.col("lots") > 0)).drop("top")
 
 
 def _possible(members: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """a, b (a < b), ra, rb, apart: the pairs within a bucket that can be similar and aren't connected, once a bucket. members: s, c, home, key, n, r, bag, blocks, lots, top.
+    """a, b (a < b), ra, rb, apart: the pairs within a bucket that can be similar and aren't connected, once a bucket. members: s, c, home, key, n, r, bag, blocks, lots, big.
     nearest: only one pair of each two groups that meet.
 
     Most members of a bucket are often connected already. These (the greatest group) only meet the others, which meet each
     other too. The others are dealt into blocks by hash; two blocks or one and a lot of the greatest group meet in one row.
     """
     by = ["s", "c"]
-    d = members.withColumn("big", (F.col("r") == F.col("top")) & (F.col("lots") > 0))
     deal = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
-    d = d.withColumn("own", F.when(F.col("big"), F.col("blocks") + deal(F.greatest("lots", F.lit(1)))).otherwise(deal(F.col("blocks"))))
+    d = members.withColumn("own", F.when(F.col("big"), F.col("blocks") + deal(F.greatest("lots", F.lit(1)))).otherwise(deal(F.col("blocks"))))
     # each row of a small block meets all small blocks and all lots, each row of a lot the small blocks
     last = F.col("blocks") + F.when(F.col("big"), 0).otherwise(F.col("lots")) - 1
     d = d.select("*", F.explode(F.sequence(F.lit(0), last)).alias("other"))
@@ -483,8 +482,10 @@ def _grouped(d: DataFrame, similarity: float, functions: int, least: int, scratc
             continue
         roots = components(_linked(more, near, similarity), roots, narrow)
         tried = tried.unionByName(more)
-        if nearest:
-            left = keep(_mixed(rooted(left.select("key", "n", "s", "c", "home"))))
+        if nearest:  # what was big is still of one group, so its members still needn't meet each other
+            left = rooted(left.drop("r"))
+            still = left.groupBy("s", "c").agg(F.min("r").alias("r1"), F.max("r").alias("r2")).where("r1 <> r2").select("s", "c")
+            left = keep(left.join(still, ["s", "c"], "left_semi"))
     out = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     return out.select("key", "id", "n", "root")
 
