@@ -175,3 +175,64 @@ def test_of_two_groups_the_nearest_pair_leaves_a_bucket():
     i, j, _ = near_dedup.nearest_pairs(*pairs, groups)
     assert sorted((int(groups[x]), int(groups[y])) for x, y in zip(i, j, strict=True)) == [(0, 1), (0, 2), (1, 2)]
     assert [len(x) for x in near_dedup.nearest_pairs(*(np.zeros(0, dtype=np.int64),) * 3, groups)] == [0, 0, 0]
+
+
+def test_pairs_that_are_not_near_stay_in_their_task(spark, monkeypatch):
+    """Texts of one passage and the same other words in any order: every pair of a bucket is possible, and none is near."""
+    rng, made, step = random.Random(5), [], near_dedup.map_arrow
+    passage, others = prose(rng, 60), [f"o{i}" for i in range(60)]
+    docs = [(i, " ".join([*passage, *rng.sample(others, 60)])) for i in range(160)]
+
+    def counted(df, run, schema):
+        rows = spark.sparkContext.accumulator(0)
+        made.append(rows)
+
+        def own(batches):
+            for b in run(batches):
+                rows.add(b.num_rows)
+                yield b
+
+        return step(df, own, schema)
+
+    monkeypatch.setattr(near_dedup, "map_arrow", counted)
+    got = near_dedup.label_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert {(r.doc_id, r.class_id) for r in got.collect()} == {(i, i) for i in range(160)}
+    assert max(x.value for x in made) <= 60 * len(docs) < 160 * 159 / 2  # a text has 60 sketches
+
+
+@pytest.mark.parametrize("words", [1 << 17, 150])
+def test_tiles_lose_no_link(spark, monkeypatch, words):
+    for name, x in (("_BLOCK", 8), ("_PART", 3), ("_PART_WORDS", words)):
+        monkeypatch.setattr(near_dedup, name, x)
+    rng = random.Random(7)
+    passage, own = prose(rng, 60), [prose(rng, 9) for _ in range(8)]
+    docs = [(i, " ".join([*own[rng.randrange(8)], *passage, *rng.choice(own)[: rng.randrange(10)]])) for i in range(60)]
+    got = near_dedup.label_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert {(r.doc_id, r.class_id) for r in got.collect()} == brute_classes(docs)
+
+
+def test_a_pair_is_settled_in_the_first_bucket_it_shares():
+    rng = np.random.default_rng(4)
+    lists = [np.unique(rng.integers(-900, 900, 40)) for _ in range(50)]
+    owners, i, j = np.repeat(np.arange(50), [len(x) for x in lists]), *np.triu_indices(50, 1)
+    times = np.zeros(len(i), dtype=int)
+    for s in np.unique(np.concatenate(lists)):
+        both = np.array([s in lists[a] and s in lists[b] for a, b in zip(i, j, strict=True)])
+        times[both] += ~near_dedup.met_before(s, owners, np.concatenate(lists), i[both], j[both])
+    assert (times == [len(np.intersect1d(lists[a], lists[b])) > 0 for a, b in zip(i, j, strict=True)]).all()
+    none = np.zeros(0, dtype=np.int64)
+    assert len(near_dedup.met_before(5, none, none, none, none)) == 0
+
+
+def test_a_tile_gives_fewer_links_than_groups():
+    groups, i, j = np.arange(30) // 2, *np.triu_indices(30, 1)
+    other = groups[i] != groups[j]
+    pairs, compared = (i[other], j[other], np.abs(i - j)[other]), []
+
+    def near(x, y):
+        compared.append((x, y))
+        return groups[x] % 3 == groups[y] % 3
+
+    links = near_dedup.tile_links(groups, pairs, near)
+    assert len(links) == 12 and len(set(compared)) == len(compared)
+    assert near_dedup.parts_of(np.array([1, 1, 1, 50, 900, 1]), 3, 100).tolist() == [0, 0, 0, 1, 1, 10]

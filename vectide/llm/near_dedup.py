@@ -7,8 +7,9 @@ their order agrees too, which is what edits keep and shuffled text loses.
 
 Classes that share a sketch and are of near length meet in a bucket. Each is compared with one head of its buckets, which
 connects most of what is near. Buckets that still hold unconnected members are settled exactly: of each such pair
-whose lengths allow it, the words that only one of them holds bound the distance from below. First only the nearest pair of each two groups
-leaves a bucket and is aligned; then, with the groups that this has joined, all pairs that are still unconnected. So no link between two members of a bucket is lost; a near pair that
+whose lengths allow it, the words that only one of them holds bound the distance from below. Members with a partner that these bounds leave go on with their
+texts, in tiles of bounded size, and are aligned there, nearest pairs first, until all pairs of a tile are connected or compared. No pair leaves a task: a tile gives the links that join its
+groups, fewer than its members, and a pair that shares many buckets is compared in one of them. So no link between two members of a bucket is lost; a near pair that
 shares no bucket is. A pair is a near-duplicate if its word-level edit distance, within a band that the threshold
 sets, leaves a similarity of ``similarity`` or more. Groups are the connected components of these links.
 """
@@ -33,6 +34,9 @@ _FEW_WORDS, _SHORT = 3, (20, 30)
 #: Words are told apart by hash in so many cells at most, and members of a bucket are compared in blocks of about so many.
 _CELLS, _BLOCK = 1 << 16, 1024
 
+#: Members go on to alignment in parts of about so many, or so many words; two parts or one make a tile.
+_PART, _PART_WORDS = 256, 1 << 17
+
 #: Alignments walk along diagonals up to so many edits; up to so many words rows are then kept as bits.
 _FEW, _BITS = 24, 1 << 15
 
@@ -319,44 +323,139 @@ def _mixed(m: DataFrame) -> DataFrame:
     return m.join(size, ["s", "c"]).withColumn("big", (F.col("r") == F.col("top")) & (F.col("lots") > 0)).drop("top")
 
 
-def _possible(members: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """a, b (a < b), ra, rb, apart: the pairs within a bucket that can be similar and aren't connected, once a bucket. members: s, c, home, key, n, r, bag, blocks, lots, big.
-    nearest: only one pair of each two groups that meet.
+def met_before(s: int, owners: np.ndarray, sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs i, j have a sketch below s in common. sketches: those of all members, each beside its owner."""
+    used = np.zeros(int(max(i.max(), j.max())) + 1 if len(i) else 0, dtype=bool)
+    used[i] = used[j] = True
+    at = np.cumsum(used) - 1
+    low = (sketches < s) & (owners < len(used))
+    low[low] = used[owners[low]]
+    _, column, size = np.unique(sketches[low], return_inverse=True, return_counts=True)
+    often = size[column] > 1
+    row, column = at[owners[low][often]], (np.cumsum(size > 1) - 1)[column[often]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    met = np.zeros(len(i), dtype=bool)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, 512):
+        a, b = np.searchsorted(column, (k, k + 512))
+        has = np.zeros((int(used.sum()), 512), dtype=np.float32)
+        has[row[a:b], column[a:b] - k] = 1
+        met |= (has @ has.T)[at[i], at[j]] > 0
+    return met
+
+
+def parts_of(n: np.ndarray, texts: int, words: int) -> np.ndarray:
+    """The part of each of some texts of n words, in turn: so many texts or words make one, and a longer text is one alone or the last of one."""
+    cost = np.maximum(n / words, 1 / texts)
+    return np.floor(np.cumsum(cost) - cost + 1e-9).astype(np.int64)
+
+
+class _Members:
+    """The members of a bucket that meet in one row, as arrays."""
+
+    def __init__(self, m: pa.ListScalar):
+        v = self.rows = m.values
+        get = lambda c: v.field(v.type.get_field_index(c))
+        self.keys, roots = get("key").to_pylist(), get("r").to_pylist()
+        number = {r: k for k, r in enumerate(sorted(set(roots)))}
+        self.groups = np.array([number[r] for r in roots], dtype=np.int64)
+        self.n, self.home, self.side = (get(c).to_numpy(zero_copy_only=False) for c in ("n", "home", "side"))
+        self.get = get
+
+    def pairs(self, s: int, bags: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """i, j, apart of the possible pairs of other groups that meet in no bucket before s."""
+        i, j, apart = possible_pairs(self.n, bags, self.groups, self.home, self.side, similarity)
+        if len(i):
+            lists = self.get("met")
+            owners = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            here = ~met_before(s, owners, lists.flatten().to_numpy(zero_copy_only=False), i, j)
+            i, j, apart = i[here], j[here], apart[here]
+        return i, j, apart
+
+
+_TILE = ("s", "c", "i", "j", "p", "q")
+
+
+def _partnered(members: DataFrame, similarity: float) -> DataFrame:
+    """Members of a bucket that have a possible partner of another group in it and in no bucket before, once in each tile where they meet.
+    members: s, c, home, key, n, r, met (the sketches of its buckets of class c), bag, blocks, lots, big.
 
     Most members of a bucket are often connected already. These (the greatest group) only meet the others, which meet each
     other too. The others are dealt into blocks by hash; two blocks or one and a lot of the greatest group meet in one row.
     """
-    by = ["s", "c"]
+    by, sizes = ["s", "c"], (_PART, _PART_WORDS)
     deal = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     d = members.withColumn("own", F.when(F.col("big"), F.col("blocks") + deal(F.greatest("lots", F.lit(1)))).otherwise(deal(F.col("blocks"))))
     # each row of a small block meets all small blocks and all lots, each row of a lot the small blocks
     last = F.col("blocks") + F.when(F.col("big"), 0).otherwise(F.col("lots")) - 1
     d = d.select("*", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     d = d.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("side", F.col("own") == F.col("j"))
-    fields = ("key", "r", "n", "home", "side", "bag")
-    d = d.groupBy(*by, "i", "j").agg(F.collect_list(F.struct(*fields)).alias("m")).select("m")
+    fields = ("key", "r", "n", "home", "side", "met", "bag")
+    d = d.groupBy(*by, "i", "j").agg(F.collect_list(F.struct(*fields)).alias("m")).where(F.size("m") > 1)
+    out = "s bigint, c int, i int, j int, p int, q int, side boolean, key binary, r binary, n bigint, home boolean, met array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for m in batch.column("m"):
-                v = m.values
-                if len(v) < 2:
+            for m, *tile in zip(batch.column("m"), *(batch.column(x).to_pylist() for x in ("s", "c", "i", "j")), strict=True):
+                v = _Members(m)
+                i, j, _ = v.pairs(tile[0], v.get("bag").to_pylist(), similarity)
+                if not len(i):
                     continue
-                get = lambda c: v.field(v.type.get_field_index(c))  # noqa: B023, E731
-                keys, roots = get("key").to_pylist(), get("r").to_pylist()
-                number = {r: k for k, r in enumerate(sorted(set(roots)))}
-                groups = np.array([number[r] for r in roots])
-                n, home, side = (get(c).to_numpy(zero_copy_only=False) for c in ("n", "home", "side"))
-                pairs = possible_pairs(n, get("bag").to_pylist(), groups, home, side, similarity)
-                for i, j, apart in zip(*(nearest_pairs(*pairs, groups) if nearest else pairs), strict=True):
-                    x, y = (i, j) if keys[i] < keys[j] else (j, i)
-                    rows.append((keys[x], keys[y], roots[x], roots[y], int(apart)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.binary()] * 4 + [pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["a", "b", "ra", "rb", "apart"])
-
-    return map_arrow(d, run, "a binary, b binary, ra binary, rb binary, apart int")
+                part, first = np.zeros(len(v.n), dtype=np.int64), 0
+                going = np.unique(np.r_[i, j])
+                for side in np.unique(v.side):
+                    own = going[v.side[going] == side]
+                    part[own] = first + parts_of(v.n[own], *sizes)
+                    first = part[own].max(initial=first - 1) + 1
+                p, q = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
+                code = np.unique(np.concatenate([(p * first + q) * len(v.n) + x for x in (i, j)]))
+                at, pq = code % len(v.n), code // len(v.n)
+                same = [pa.array(np.full(len(at), x), t) for x, t in zip(tile, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+                parts = [pa.array(x, pa.int32()) for x in (pq // first, pq % first)]
+                rows = [v.get(x).take(pa.array(at)) for x in ("key", "r", "n", "home", "met")]
+                yield pa.RecordBatch.from_arrays([*same, *parts, pa.array(part[at] == pq % first), *rows], names=[*_TILE, "side", "key", "r", "n", "home", "met"])
+
+    return map_arrow(d, run, out)
+
+
+def tile_links(groups: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], near: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Links that join all groups that near pairs join, one fewer than these; of each two groups the nearest pair is compared first, then all that are still apart."""
+    above, tried, out = {}, set(), []
+
+    def root(g: int) -> int:
+        while g in above:
+            above[g] = g = above.get(above[g], above[g])
+        return g
+
+    for i, j, apart in (nearest_pairs(*pairs, groups), pairs):
+        order = np.argsort(apart, kind="stable")
+        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            a, b = root(int(groups[x])), root(int(groups[y]))
+            if a != b and (x, y) not in tried:
+                tried.add((x, y))
+                if near(x, y):
+                    above[a] = b
+                    out.append((x, y))
+    return out
+
+
+def _tile_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links of the members (those of _partnered()) of each tile; texts: key, text. A task holds the texts of one tile and one Arrow batch."""
+    d = members.join(texts.select("key", "text").hint("merge"), "key")
+    d = d.groupBy(*_TILE).agg(F.collect_list(F.struct("key", "r", "n", "home", "side", "met", "text")).alias("m")).select("s", "m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for s, m in zip(batch.column("s").to_pylist(), batch.column("m"), strict=True):
+                v = _Members(m)
+                h = [word_hashes(t) for t in v.get("text").to_pylist()]
+                near = lambda x, y: edit_distance(h[x], h[y], int((1 - similarity) * max(len(h[x]), len(h[y])) + 1e-9)) is not None  # noqa: B023, E731
+                pairs = v.pairs(s, [word_bag(x).tobytes() for x in h], similarity)
+                rows += [(v.keys[x], v.keys[y]) for x, y in tile_links(v.groups, pairs, near)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return map_arrow(d, run, "a binary, b binary")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -461,31 +560,16 @@ def _grouped(d: DataFrame, similarity: float, functions: int, least: int, scratc
     links = _linked(texts.where("a is not null").select("a", F.col("key").alias("b"), F.col("text").alias("tb")), texts.where("is_head"), similarity)
     roots = components(links if same is None else links.unionByName(same), keep=narrow)
 
-    def rooted(m: DataFrame) -> DataFrame:
-        return m.join(roots.select(F.col("node").alias("key"), F.col("root").alias("r")), "key", "left").withColumn("r", F.coalesce("r", "key"))
-
-    m = rooted(band.select("key", "n", "s", "c"))
+    root = roots.select(F.col("node").alias("key"), F.col("root").alias("r"))
+    m = band.select("key", "n", "s", "c").join(root, "key", "left").withColumn("r", F.coalesce("r", "key"))
     apart = m.groupBy("s").agg(F.min("r").alias("r1"), F.max("r").alias("r2")).where("r1 <> r2").select("s")
-    left, near = keep(_mixed(m.join(apart, "s").select("key", "n", "s", "r", spots.alias("x")).select("key", "n", "s", "r", "x.*"))), None
-    for nearest in (True, False):
-        if left.isEmpty():
-            break
-        if near is None:  # only these texts are needed from here on, as groups only grow
-            near = keep(_bags(texts.join(left.select("key").distinct().hint("merge"), "key", "left_semi")))
-        possible = _possible(left.join(near.select("key", "bag"), "key"), similarity, nearest).groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("ra", "rb", "apart")])
-        possible = possible.join(tried, ["a", "b"], "left_anti")
-        if nearest:  # as one link makes all other pairs of its two groups needless
-            two = (F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
-            possible = possible.groupBy(*two).agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
-        more = narrow(possible.select("a", "b"))
-        if more.isEmpty():
-            continue
-        roots = components(_linked(more, near, similarity), roots, narrow)
-        tried = tried.unionByName(more)
-        if nearest:  # what was big is still of one group, so its members still needn't meet each other
-            left = rooted(left.drop("r"))
-            still = left.groupBy("s", "c").agg(F.min("r").alias("r1"), F.max("r").alias("r2")).where("r1 <> r2").select("s", "c")
-            left = keep(left.join(still, ["s", "c"], "left_semi"))
+    left = keep(_mixed(m.join(apart, "s").select("key", "n", "s", "r", spots.alias("x")).select("key", "n", "s", "r", "x.*")))
+    if not left.isEmpty():
+        near = keep(_bags(texts.join(left.select("key").distinct().hint("merge"), "key", "left_semi")))
+        own = left.groupBy("key").agg(F.collect_list(F.struct(*[c for c in left.columns if c != "key"])).alias("all"))
+        met = F.transform(F.filter("all", lambda x: x["c"] == F.col("x.c")), lambda x: x["s"]).alias("met")
+        members = own.join(near.select("key", "bag"), "key").select("*", F.explode("all").alias("x")).select("key", "bag", met, "x.*")
+        roots = components(_tile_links(keep(_partnered(members, similarity)), near, similarity), roots, narrow)
     out = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     return out.select("key", "id", "n", "root")
 
