@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import vectors
 from pyspark.sql import functions as F
@@ -163,3 +166,25 @@ def test_codes(spark, corpus):
 def test_open_metrics():
     text = measures.open_metrics({"rows": ("gauge", "Rows.", 3), "searches": ("counter", "Searches.", 2)})
     assert "rows 3" in text and "searches_total 2" in text and text.endswith("# EOF\n")
+
+
+@pytest.mark.parametrize("k", [10, None])
+def test_a_scan_stays_small_with_many_queries(spark, monkeypatch, k):
+    """Scores of 4,000 rows and a whole block of queries: matrices of these took some 200 MB in each task."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4000, 64)).astype(np.float32)
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    rows = spark.createDataFrame([(0, 0, 0, x[0].tolist())], "shard int, slot long, label long, embedding array<float>")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: run)
+    run = search.scan(rows, [(i, q.tolist()) for i, q in enumerate(np.r_[x, x[:96]])], k, floor=0.2)
+    at, lists = np.arange(4000), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 64), pa.int32()), pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(4000, np.int32)), pa.array(at), pa.array(at), lists], names=["shard", "slot", "label", "embedding"])
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in run([batch]))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    score = x.astype(np.float64) @ np.r_[x, x[:96]].T.astype(np.float64)
+    assert found == (np.minimum((score >= 0.2).sum(axis=0), k) if k else score >= 0.2).sum()
+    assert most < 80e6

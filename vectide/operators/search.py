@@ -22,8 +22,8 @@ from .codes import Coding
 
 Query = tuple[int, list[float]]
 
-#: Numbers that a task holds at once in a matrix of scores or of products.
-_CELLS = 1 << 22
+#: Numbers that a task holds at once in a matrix of scores or of products, of which there are up to six: 4 MB each, however many queries a block has.
+_CELLS = 1 << 19
 
 
 def collect_queries(queries: DataFrame | Sequence, limits: Limits = Limits()) -> list[Query]:
@@ -88,11 +88,16 @@ def scan(
             columns = [pa.array(ids[p[0]]), pa.array(p[1]), pa.array(p[2].astype(np.int32)), pa.array(p[3]), label]
             return pa.RecordBatch.from_arrays(columns, names=["query_id", "score", "shard", "slot", "label"])
 
+        def waited() -> list[np.ndarray]:
+            """The pool and what waits in one; nothing waits then."""
+            out = [np.concatenate(c) for c in zip(pool, *waiting, strict=True)]
+            waiting.clear()
+            return out
+
         def merge() -> None:
             """The best k of the pool and what waits, per query; the k-th score becomes the query's cut."""
             nonlocal pool
-            q, score, shard, slot, label, bare = (np.concatenate(c) for c in zip(pool, *waiting, strict=True))
-            waiting.clear()
+            q, score, shard, slot, label, bare = waited()
             order = np.lexsort((slot, shard, *([label] if by_label else []), -score, q))
             q, score, shard, slot, label, bare = (c[order] for c in (q, score, shard, slot, label, bare))
             first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
@@ -128,17 +133,17 @@ def scan(
                     good = exact >= cuts[q]
                     r, q, exact = r[good], q[good], exact[good]
                     new = [q, exact, *(c[start + r] for c in own)]
-                    if k is None:
-                        yield batch_of(new)
-                    else:
-                        waiting.append(new)
-                if sum(len(w[0]) for w in waiting) > max(len(pool[0]), 1 << 16):
+                    waiting.append(new)
+                    if k is None and sum(len(w[0]) for w in waiting) >= 1 << 16:
+                        yield batch_of(waited())
+                if k is not None and sum(len(w[0]) for w in waiting) > max(len(pool[0]), 1 << 16):
                     merge()
-        if k is not None:
-            if waiting:
-                merge()
-            if len(pool[0]):
-                yield batch_of(pool)
+        if waiting and k is None:
+            yield batch_of(waited())
+        elif waiting:
+            merge()
+        if len(pool[0]):
+            yield batch_of(pool)
 
     raw = coding.encoding == "raw"
     kind = rows.schema["embedding"].dataType.simpleString() if raw else ""
