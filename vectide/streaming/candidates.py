@@ -119,8 +119,8 @@ def packed_records(candidates: DataFrame) -> DataFrame:
         for b in batches:
             rows = np.zeros(b.num_rows, dtype=[("l", "<u8"), ("s", "<f4")])
             rows["l"], rows["s"] = b.column("label").to_numpy(zero_copy_only=False), b.column("score").to_numpy(zero_copy_only=False)
-            data = rows.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("query_id"), pa.array([data[i : i + 12] for i in range(0, len(data), 12)], pa.binary())], names=["query_id", "record"])
+            records = pa.FixedSizeBinaryArray.from_buffers(pa.binary(12), b.num_rows, [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), records], names=["query_id", "record"])
 
     return candidates.select("query_id", "label", "score").mapInArrow(run, "query_id long, record binary")
 
